@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leakage, mojibake, repetition, text_form
+from . import boilerplate, language, leakage, mojibake, repetition, text_form
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,22 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(_table(spark, sf_dir, "documents"), _language_model(spark, sf_dir))
 
 
+def _line_model(spark: SparkSession, sf_dir: str) -> boilerplate.LineModel:
+    return boilerplate.fit(boilerplate.training_pages(_table(spark, sf_dir, "pages")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(_conversions(spark, sf_dir), _line_model(spark, sf_dir))
+
+
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_text(_conversions(spark, sf_dir), _line_model(spark, sf_dir))
+
+
+def p6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.html_content(_table(spark, sf_dir, "pages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,5 +86,5 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_statistics, p5_found, p5_segments, p7_found, p7_spans, p7_decontaminated, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p9_found, p9_repetition)}
 SQL: dict[str, str] = {}
