@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, language, leakage, mojibake, repetition, text_form
+from . import abuse, boilerplate, language, leakage, mojibake, repetition, text_form
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,26 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.where(F.size("garbled") > 0).select("record_id", F.size("garbled").alias("garbled_lines"), F.col("restored").alias("payload")).distinct()
 
 
+def _field(spark: SparkSession, sf_dir: str) -> abuse.Field:
+    return abuse.fit(*abuse.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.offending(_table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(_table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.offsets(_table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = text_form.text_forms(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"), _samples(spark, sf_dir))
     return forms.where(F.col("form").isin("list", "table", "junk")).select("doc_id", "form").distinct()
@@ -86,5 +106,5 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_scores, p3_spans, p3_rates, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p9_found, p9_repetition)}
 SQL: dict[str, str] = {}
