@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, boilerplate, language, leakage, mojibake, repetition, text_form
+from . import abuse, boilerplate, language, leakage, mixture, mojibake, pii, repetition, text_form
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def _samples(spark: SparkSession, sf_dir: str) -> list[str]:
     return mojibake.sample_texts(_table(spark, sf_dir, "lang_samples"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mentions(_table(spark, sf_dir, "documents"))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(_table(spark, sf_dir, "documents"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_records(_conversions(spark, sf_dir), _table(spark, sf_dir, "lang_samples"))
 
@@ -98,6 +106,14 @@ def p7_decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"), _samples(spark, sf_dir))
 
@@ -106,5 +122,5 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_scores, p3_spans, p3_rates, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_repaired, p3_found, p3_scores, p3_spans, p3_rates, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p8_mixture, p8_shares, p9_found, p9_repetition)}
 SQL: dict[str, str] = {}
