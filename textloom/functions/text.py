@@ -64,5 +64,11 @@ def normalized(text: Column) -> Column:
 
 
 def word_ngrams(ws: Column, n: int) -> Column:
-    """All runs of n words of an array, joined by spaces; empty below n words."""
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words of an array, joined by spaces; empty below n words.
+
+    The array is cut n times with one word's shift and zipped: inside a lambda over positions it would be evaluated anew
+    for every position.
+    """
+    size = F.greatest(F.size(ws) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(ws, k + 1, size).alias(f"w{k}") for k in range(n)])
+    return F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(n)]))

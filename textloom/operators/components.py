@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder that the session names; otherwise the plan is kept in memory and on disk."""
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     both group by node with a minimum that is combined before the shuffle, and join it back to the edges, so no
     neighbourhood is ever gathered in one task.  Ends when no edge changes.
     """
-    current = _checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    current = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     state = None
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
         nxt = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("y").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        current = _checkpointed(nxt)
+        current = checkpointed(nxt)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
         if tuple(now) == state:
             break

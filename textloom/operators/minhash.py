@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized, word_ngrams
-from .components import components
+from .components import checkpointed, components
 
 PRIME = 2147483647
 HASHES, BANDS, NGRAM, THRESHOLD = 100, 20, 5, 0.8
@@ -34,11 +34,9 @@ def coefficients(k: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def shingle_hashes(text: Column, n: int = NGRAM) -> Column:
-    """Sorted distinct 31-bit hashes of the word n-grams of the normalised text."""
-    norm = normalized(F.coalesce(text, F.lit("")))
-    grams = word_ngrams(F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " ")), n)
-    return F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % PRIME)))
+def shingle_hashes(ws: Column, n: int = NGRAM) -> Column:
+    """Sorted distinct 31-bit hashes of the word n-grams of an array of words."""
+    return F.sort_array(F.array_distinct(F.transform(word_ngrams(ws, n), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % PRIME)))
 
 
 def signature(k: int = HASHES):
@@ -64,8 +62,10 @@ def signature(k: int = HASHES):
 
 
 def shingled(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
-    """``key, shingles``"""
-    return df.select(F.col(key), shingle_hashes(F.col(text), n).alias("shingles"))
+    """``key, shingles`` of the normalised texts; a null text has none."""
+    norm = df.select(F.col(key), normalized(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    ws = norm.select(key, F.filter(F.split("_t", " "), lambda w: w != "").alias("_w"))
+    return ws.select(key, shingle_hashes(F.col("_w"), n).alias("shingles"))
 
 
 def representatives(sh: DataFrame, key: str) -> DataFrame:
@@ -117,6 +117,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """``key, cluster_id, n_links``: the smallest key of each document's class, and its links to other shingle sets."""
     pairs, rep = near_duplicates(df, key, text, **parameters)
+    pairs = checkpointed(pairs)  # read three times below
     both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     links = both.groupBy(F.col("id_a").alias("rep")).agg(F.count("*").alias("n_links"))
     label = components(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))

@@ -16,11 +16,11 @@ def _q(s: str) -> str:
 _STATS = f"""
 stats0 AS (SELECT doc_id, text, lang, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w,
     regexp_split_to_array(coalesce(text, ''), '{LINE_END}') AS l0 FROM documents),
-stats1 AS (SELECT doc_id, text, lang, w, list_filter(w, x -> regexp_matches(x, '[a-zA-Z]')) AS a,
+stats1 AS (SELECT doc_id, text, lang, w, list_filter(w, lambda x: regexp_matches(x, '[a-zA-Z]')) AS a,
     CASE WHEN l0[-1] = '' THEN l0[1:len(l0)-1] ELSE l0 END AS l FROM stats0),
 stats AS (SELECT doc_id, text, lang, len(w)::BIGINT AS n_words, len(a)::BIGINT AS n_alpha,
     length(array_to_string(a, ''))::BIGINT AS sum_alpha_len, len(l)::BIGINT AS n_lines,
-    len(list_filter(l, x -> regexp_matches(x, '\\.\\.\\.[{SPACE}]*$')))::BIGINT AS n_ellipsis FROM stats1),
+    len(list_filter(l, lambda x: regexp_matches(x, '\\.\\.\\.[{SPACE}]*$')))::BIGINT AS n_ellipsis FROM stats1),
 ruled AS (SELECT *, CASE WHEN n_words = 0 THEN 'empty'
     WHEN n_alpha < {q.MIN_WORDS} OR n_alpha > {q.MAX_WORDS} THEN 'word_count'
     WHEN sum_alpha_len / n_alpha::DOUBLE < {q.MIN_MEAN_LENGTH} OR sum_alpha_len / n_alpha::DOUBLE > {q.MAX_MEAN_LENGTH} THEN 'mean_word_length'
