@@ -219,6 +219,8 @@ def pieces(text: str) -> list[tuple[int, int, bool]]:
 SENTENCE_WORDS = 4
 SENTENCE_HAN = 8
 SURE = 0.9
+#: Languages that their letters alone tell from the others here; their sentences need no frequent words.
+OWN_SCRIPT = ("ru", "zh")
 #: Texts of less familiar n-grams are still accepted for sentences this familiar (two, or a tenth of the text).
 SURELY_FAMILIAR = 0.84
 #: Mean letters of a word below which a text is code or figures.  Runs of Chinese are longer.
@@ -268,6 +270,7 @@ def analyse(model: Model, texts: list[str | None]) -> list[Text]:
     strong = whole & long & known & (sure >= SURE)
     frequent = sums[:, k + 2 : 2 * k + 2]
     own_frequent = frequent[np.arange(len(best)), best]
+    own_script = np.array([lang in OWN_SCRIPT for lang in model.langs])
     out, at = [], 0
     for own in owned:
         n = len(own)
@@ -288,7 +291,7 @@ def analyse(model: Model, texts: list[str | None]) -> list[Text]:
         main = int(weight.argmax()) if weight.any() else int(doc.argmax())
         other = strong[part] & (best[part] != main)
         if other.any():
-            other &= (own_frequent[part] > frequent[part, main]) | (best[part] == zh)
+            other &= (own_frequent[part] > frequent[part, main]) | own_script[best[part]]
         langs = np.where(other, best[part], main)
         confidence = doc[main]
         if weight.any():
