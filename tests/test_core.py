@@ -1,0 +1,188 @@
+"""The core operators on small inputs, with their border cases."""
+
+import gzip
+import re
+import unicodedata
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions.html import decode, extract, html_to_text
+from textloom.functions.masking import mask_all, mask_emails, mask_ips, mask_phones
+from textloom.functions.register import register
+from textloom.functions.text import lines, normalized, words
+from textloom.operators import lines as line_ops
+from textloom.operators import minhash, naive_bayes, quality_rules
+from textloom.operators.components import components
+from textloom.sinks import tokens
+from textloom.sources import files, warc
+from textloom.streaming.rowlevel import ruled_and_masked
+
+
+def one(spark, text, expr):
+    return spark.createDataFrame([(text,)], "t STRING").select(expr(F.col("t")).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("mask", "text", "masked", "n"),
+    [
+        (mask_emails, "to test@example.org now", "to |||EMAIL_ADDRESS||| now", 1),
+        (mask_emails, "a@b.org, c@d.org", "|||EMAIL_ADDRESS|||, |||EMAIL_ADDRESS|||", 2),
+        (mask_emails, "a@b.photography", "|||EMAIL_ADDRESS|||raphy", 1),
+        (mask_phones, "2831823829", "|||PHONE_NUMBER|||", 1),
+        (mask_phones, "(283)-182-3829", "|||PHONE_NUMBER|||", 1),
+        (mask_phones, "call (283) 182 3829", "call |||PHONE_NUMBER|||", 1),
+        (mask_phones, "283-182-3829", "|||PHONE_NUMBER|||", 1),
+        (mask_phones, "12831823829", "12831823829", 0),
+        (mask_ips, "at 192.0.2.146.", "at |||IP_ADDRESS|||.", 1),
+        (mask_ips, "256.1.1.1", "256.1.1.1", 0),
+        (mask_ips, None, None, None),
+    ],
+)
+def test_masks(spark, mask, text, masked, n):
+    assert tuple(one(spark, text, mask)) == (masked, n)
+
+
+def test_masking_twice_changes_nothing(spark):
+    text = "a@b.org 283-182-3829 192.0.2.1 " * 3
+    assert one(spark, one(spark, text, mask_all), mask_all) == one(spark, text, mask_all)
+
+
+def test_words_lines_and_normal_form_as_in_python(spark):
+    texts = ["", " ", "a\u0085b c", "x\r\ny\n\nz", "last\n", "Żółw, ÉTÉ é İ ß Ł!", "tab\tand　wide\x1fspace"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    for r in df.select("i", words(F.col("t")).alias("w"), lines(F.col("t")).alias("l"), normalized(F.col("t")).alias("n")).collect():
+        t = texts[r.i]
+        assert r.w == t.split()
+        assert r.l == (t.splitlines() or [])
+        bare = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower()
+        assert r.n == " ".join(re.sub(r"[!-/:-@\[-`{-~]", "", bare).split())
+
+
+def reason(spark, text):
+    return quality_rules.rules(spark.createDataFrame([(text,)], "text STRING")).first().drop_reason
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("word " * 50, None),
+        ("word " * 49, "word_count"),
+        ("", "empty"),
+        ("  \n ", "empty"),
+        (None, "empty"),
+        ("ab " * 60, "mean_word_length"),
+        ("abc " * 60, None),
+        ("abcdefghij " * 60, None),
+        ("abcdefghijk " * 60, "mean_word_length"),
+        ("word " * 80 + "12 " * 20, None),
+        ("word " * 79 + "12 " * 21, "letter_words"),
+        ("\n".join(["word " * 20 + "..."] * 3 + ["word " * 20] * 7), None),
+        ("\n".join(["word " * 20 + "..."] * 4 + ["word " * 20] * 6), "ellipsis_lines"),
+        ("\n".join(["word " * 20 + "…"] * 10), None),
+    ],
+)
+def test_rules_at_their_bounds(spark, text, expected):
+    assert reason(spark, text) == expected
+
+
+def test_rules_with_too_many_words(spark):
+    assert reason(spark, "word " * 100_001) == "word_count"
+
+
+def test_repeated_lines(spark):
+    docs = [(1, "a\nb\n"), (2, "a\nb\n"), (3, "- home\n- back\nown\n"), (4, "- home\nmine"), (5, "mine\nx\n"), (6, ""), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: (r.text, r.kept_lines) for r in line_ops.dedup(df).collect()}
+    # a last line without its line feed is another line
+    assert got == {1: ("", 0), 2: ("", 0), 3: ("- back\nown\n", 2), 4: ("mine", 1), 5: ("mine\nx\n", 2), 6: ("", 0), 7: ("", 0)}
+
+
+def test_near_duplicates_classes_and_copies(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = [*base[:118], "x", "y"]
+    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base).upper()), (4, "too short"), (5, "other few"), (6, None), (7, " ".join(f"z{i}" for i in range(80)))]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: (r.cluster_id, r.n_links) for r in minhash.clusters(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0), 5: (4, 0), 6: (4, 0), 7: (7, 0)}
+    assert sorted(r.doc_id for r in minhash.dedup(df).collect()) == [1, 4, 7]
+    assert minhash.dedup(df.limit(0)).count() == 0
+
+
+def test_components_of_chains_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100)] + [(200, 200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src BIGINT, dst BIGINT")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_bayes_learns_and_falls_back(spark):
+    df = spark.createDataFrame([(1, "good kind words"), (2, "good kind day"), (3, "bad foul words"), (4, "foul bad day"), (5, "kind good"), (6, "!!"), (7, None)], "doc_id BIGINT, text STRING")
+    truth = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "no"), (4, "no")], "doc_id BIGINT, label STRING")
+    got = {r.doc_id: (r.label, r.score) for r in naive_bayes.classify(df, truth, ["ok", "no"]).collect()}
+    assert got[5][0] == "ok" and got[5][1] > 0.5
+    assert got[6] == got[7] == ("unknown", 0.0)
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title><script>if(a<b){'</p>'}</script></head><body><h1>Head</h1><p>One  &amp; two <a href=x>link</a>.</p><ul><li>a</li><li>b</ul><img src=y></body>"
+    assert extract(page) == "Head\n\nOne & two link.\n\n  • a\n  • b"
+    assert decode("é".encode("latin-1")) == "é"
+    assert decode("<meta charset=windows-1251>Да".encode("cp1251")).endswith("Да")
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "h STRING").select(html_to_text("h").alias("t")).collect()
+    assert [r.t for r in rows] == [extract(page), None, ""]
+
+
+def test_warc_source(spark, tmp_path):
+    def record(kind, body, uri=b"http://x.test/"):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: " + uri + b"\r\nWARC-Date: 2024-01-02T03:04:05Z\r\nContent-Type: text/plain\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    raw = record(b"warcinfo", b"software: x") + record(b"conversion", "é body".encode()) + record(b"response", b"<html>")
+    (tmp_path / "a.warc.wet.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "b.warc").write_bytes(raw + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut")
+    warc.register(spark)
+    df = spark.read.format("warc").option("path", str(tmp_path)).load()
+    assert df.count() == 6
+    got = df.where("record_type = 'conversion'").select(F.decode("payload", "UTF-8").alias("t"), "target_uri", F.col("date").cast("string").alias("d")).distinct().collect()
+    assert [tuple(r) for r in got] == [("é body", "http://x.test/", "2024-01-02 03:04:05")]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n\n\n\n three \n\n")
+    assert [r.text for r in files.read_blocks(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo", "three"]
+    assert files.read_whole(spark, str(tmp_path / "a.txt")).first().text.startswith("one")
+    assert files.read_lines(spark, str(tmp_path / "a.txt")).count() == 7
+    line = "x &lt;ref&gt [http://a.test/b see] and https://c.test. &lt;/ref&gt;"
+    assert one(spark, line, files.reference_urls) == ["http://a.test/b", "https://c.test"]
+
+
+def test_token_stream_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (1, "hello world"), (2, None)], "doc_id BIGINT, text STRING")
+    ids = {r.doc_id: r.ids for r in tokens.tokenized(df).collect()}
+    parts = tokens.write_stream(tokens.tokenized(df), str(tmp_path / "s")).collect()
+    assert sum(p.n_tokens for p in parts) == sum(map(len, ids.values()))
+    got = [x for r in tokens.read_stream(spark, str(tmp_path / "s")).orderBy("part").collect() for x in r.ids]
+    assert got == ids[1] + ids[2] + ids[3]
+    with pytest.raises(Exception, match="16 bits"):
+        tokens.write_stream(spark.createDataFrame([(1, [65536])], "doc_id BIGINT, ids ARRAY<INT>"), str(tmp_path / "t")).collect()
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([(1, "word " * 60 + "a@b.org"), (2, "few words"), (3, None)], "doc_id BIGINT, text STRING")
+    df.write.parquet(str(tmp_path / "in"))
+    batch = {tuple(r) for r in ruled_and_masked(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    q = ruled_and_masked(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("rows_out").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {tuple(r) for r in spark.sql("select * from rows_out").collect()} == batch and len(batch) == 1
+
+
+def test_sql_functions(spark):
+    register(spark)
+    assert spark.sql("SELECT mask_phones('call 283-182-3829') AS x").first().x == "call |||PHONE_NUMBER|||"
+
+
+def test_signature_is_the_minimum_per_hash(spark):
+    hashes = [5, 77, 123456]
+    got = spark.createDataFrame([(hashes,), ([],), (None,)], "h ARRAY<BIGINT>").select(minhash.signature(7)("h").alias("s")).collect()
+    want = [min((a * h + b) % minhash.PRIME for h in hashes) for a, b in minhash.coefficients(7)]
+    assert [list(r.s) for r in got] == [want, [0] * 7, [0] * 7] and np.all(np.array(want) >= 0)
