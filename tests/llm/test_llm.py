@@ -201,10 +201,42 @@ def test_html_regions(spark):
     assert [x for x, m in zip(lines, main) if m] == ["Title here", "A long paragraph of text that says something."]
     df = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0)], "page_id BIGINT, html STRING, main INT")
     assert {r.page_id: r.main for r in boilerplate.html_content(df).collect()}[2] is None
-    empty = boilerplate.fit(boilerplate.training_pages(df.limit(0)))
+    empty = boilerplate.fit(*boilerplate.training_pages(df.limit(0)))
     assert boilerplate.boilerplate_lines(df, empty, "page_id", "html").count() >= 0
 
 
+ARTICLE = "The old mill was near the river and the miller knew it, although nobody in the town could say when the storm would come. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "main"),
+    [
+        (f"<div><a>Home</a></div><div>{ARTICLE}</div><div>Advertisement</div><div>{ARTICLE}</div><div>Copyright 2020</div>", [ARTICLE.strip()] * 2),
+        (f"<nav><ul><li>Home</li><li>Contact us</li><li>Search pages</li></ul></nav><h1>A title here</h1><p>{ARTICLE}</p><ul><li>one long item</li><li>two long items</li></ul><p>{ARTICLE}</p>", ["A title here", ARTICLE.strip(), "one long item", "two long items", ARTICLE.strip()]),
+        (f"<table><tr><td>{ARTICLE}</td></tr></table><footer>{ARTICLE[:110]}</footer>", [ARTICLE.strip()]),
+        ("<nav><a>Home</a><li><a>Shop</a></nav>", []),
+        ("", []),
+        ("<p>Only this one sentence stands here", ["Only this one sentence stands here"]),
+    ],
+)
+def test_text_to_tag_ratio(page, main):
+    lines, keep = boilerplate.html_main(page)
+    assert [x for x, m in zip(lines, keep) if m] == main
+
+
+def test_pages_of_records_decide(spark):
+    """A line that nothing but its page's tags can place; a null page, a page without record and a second page change nothing."""
+    payload = f"Riverside notes\n{ARTICLE}\nRiverside notes"
+    html = f"<h1>Riverside notes</h1><p>{ARTICLE}</p><footer><a>Riverside notes</a></footer>"
+    records = spark.createDataFrame([(1, payload, "x"), (1, payload, "x"), (2, None, "x"), (3, "", "y"), (None, payload, "y")], "record_id BIGINT, payload STRING, sides STRING")
+    pages = spark.createDataFrame([(7, 1, html), (8, 1, f"<footer>{payload}</footer>"), (9, 2, None), (10, None, html), (11, 99, html)], "page_id BIGINT, record_id BIGINT, html STRING")
+    model = boilerplate.fit(*boilerplate.training_pages(pages.limit(0)))
+    got = sorted(tuple(r) for r in boilerplate.boilerplate_lines(records, model, pages=pages).where("record_id = 1").collect())
+    assert got == [(1, 2)]
+    main = {r.record_id: r.main for r in boilerplate.main_text(records, model, pages=pages).collect()}
+    assert main[1] == f"Riverside notes\n{ARTICLE}" and main[2] is None and main[3] == ""
+
+
 @pytest.mark.parametrize(("raw", "normal"), [("1d10t", "idiot"), ("iiidiot", "idiot"), ("idiot!!", "idiot"), ("i****t", "i*t"), ("tr@$h", "trash"), ("10th", "10th"), ("2013", "0"), ("dоwn", "down")])
 def test_disguises(raw, normal):
     assert abuse.normal(raw) == normal

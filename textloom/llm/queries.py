@@ -79,15 +79,15 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_model(spark: SparkSession, sf_dir: str) -> boilerplate.LineModel:
-    return boilerplate.fit(boilerplate.training_pages(_table(spark, sf_dir, "pages")))
+    return boilerplate.fit(*boilerplate.training_pages(_table(spark, sf_dir, "pages")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.boilerplate_lines(_conversions(spark, sf_dir), _line_model(spark, sf_dir))
+    return boilerplate.boilerplate_lines(_conversions(spark, sf_dir), _line_model(spark, sf_dir), pages=_table(spark, sf_dir, "pages"))
 
 
 def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.main_text(_conversions(spark, sf_dir), _line_model(spark, sf_dir))
+    return boilerplate.main_text(_conversions(spark, sf_dir), _line_model(spark, sf_dir), pages=_table(spark, sf_dir, "pages"))
 
 
 def p6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
