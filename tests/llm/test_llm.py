@@ -181,6 +181,48 @@ def test_repetitive_documents(spark, tables):
     assert repetition.repetition(df.limit(0), tables[1]).count() == 0
 
 
+def _fitted(spark, texts, parts, **k):
+    return repetition.fit(spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(parts), **k)
+
+
+def test_trigram_model_is_the_same_for_any_partitions(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.choice((1, 2)) for _ in range(40)) for _ in range(50)] + EMPTY
+    for size in (1 << 20, 64):
+        one, four = (_fitted(spark, texts, n, size=size) for n in (1, 4))
+        for a, b in zip(one.grams + one.contexts, four.grams + four.contexts, strict=True):
+            assert (a.keys == b.keys).all() and (a.values == b.values).all()
+            assert len(a.keys) <= size
+    tokens = repetition.Tokens(repetition.Vocabulary({}), texts)
+    assert (one.probability(tokens) == four.probability(tokens)).all()
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_trigram_probabilities_add_up(spark, size):
+    rng = random.Random(7)
+    words = [a + b for a in "bdfg" for b in "aeiou"]
+    texts = [" ".join(rng.choice(words[: rng.randrange(3, 20)]) for _ in range(30)) for _ in range(60)]
+    model = _fitted(spark, texts, 3, size=size)
+    vocab = repetition.Vocabulary({})
+    for u, v in (("ba", "be"), ("da", "zz"), ("zz", "yy")):
+        tokens = repetition.Tokens(vocab, [f"{u} {v} {w}" for w in [*words, "unseen"]])
+        p = model.probability(tokens)[2::3]
+        assert np.isclose(p[:-1].sum() + p[-1] * (1 / model.unseen - len(words)), 1, atol=1e-5)
+
+
+def test_trigram_counts_equal_brute_force(spark):
+    texts = ["a b c a b d", "a b c", "x a b c x a b c", "b c d e"]
+    seen = Counter()
+    for t in texts:
+        w = ["<", "<", *t.split()]
+        seen.update({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    got = repetition._summed([(np.zeros(1, np.uint64),) * 4 + (np.ones(1),)])
+    assert got[4].tolist() == [1]
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(2).mapInArrow(repetition._count, "u BIGINT, v BIGINT, w BIGINT, c BIGINT")
+    counts = sorted(r["sum(c)"] for r in rows.groupBy("u", "v", "w").sum("c").collect())
+    assert counts == sorted(seen.values())
+
+
 def test_main_content():
     rng = random.Random(5)
     pages = []
