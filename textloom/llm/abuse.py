@@ -72,7 +72,7 @@ def normal(token: str) -> str:
     latin = sum("a" <= c <= "z" for c in core)
     if latin and not core.isascii():
         core = core.translate(_LOOKALIKE)
-    if latin and not core.isalpha() and (latin >= 2 or "@" in core or "$" in core) and not re.fullmatch(r"\d+[a-z]{1,2}|[a-z]+[-_]?\d+|[a-z]+(?:['’-][a-z]+)+", core) and "@" not in core[1:-1].replace("@", "", 0)[:0] + ("@" if re.search(r"@.*\.", core) else ""):
+    if latin and not core.isalpha() and (latin >= 2 or "@" in core or "$" in core) and not re.fullmatch(r"\d+[a-z]{1,2}|[a-z]+[-_]?\d+|[a-z]+(?:['’-][a-z]+)+", core) and not re.search(r"@.*\.", core):
         core = core.translate(_LEET)
     if core.isdigit():
         return "0"
@@ -197,11 +197,31 @@ def marginals(emit: np.ndarray, ok: np.ndarray, trans: np.ndarray) -> tuple[np.n
     return post, pair, np.log(scale).sum(1)
 
 
+def least_lean(trans: np.ndarray) -> float:
+    """How far the likeliest other state of a unit's words may lean against none before no marginal can pass one half.
+
+    Against the same path with none in its place, a run of m words in other states weighs at most E X q (q G)^(m - 1): q is
+    the exponential of the lean, E and X of entering and leaving the run, G of the changes within it.  All runs over one
+    word together weigh E X q / (1 - q G)^2, and its marginal is less than that.
+    """
+    gain = np.exp(trans - trans[0, 0])
+    enter, leave, within = max(1.0, gain[0, 1:].max()), max(1.0, gain[1:, 0].max()), gain[1:, 1:].sum(1).max()
+    low, high = -60.0, 0.0
+    for _ in range(60):
+        lean = (low + high) / 2
+        q = np.exp(lean)
+        if q * within < 1 and enter * leave * q / (1 - q * within) ** 2 <= 0.5:
+            low = lean
+        else:
+            high = lean
+    return low
+
+
 class Field:
     """Weights per hashed feature and state, and of state changes."""
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans = weights, trans
+        self.weights, self.trans, self.least = weights, trans, least_lean(trans)
         self.vocab = Vocab()
         self.rows = np.zeros((0, len(STATES)), np.float32)
 
@@ -214,7 +234,8 @@ class Field:
     def tag(self, texts: list[str | None]) -> tuple[Units, np.ndarray]:
         """P(state) of every word of the texts.
 
-        Units none of whose words leans to a state but none are not worth the recursions: their marginals are 0.
+        Units in which no marginal of toxic or nsfw can pass one half (:func:`least_lean`) have no spans: the recursions
+        are left out there, and their words count as none.
         """
         units = Units(self.vocab, texts)
         out = np.zeros((len(units.ids), len(STATES)), np.float32)
@@ -229,7 +250,7 @@ class Field:
         for k in range(units.context.shape[1]):
             emit = emit + self.weights[units.context[:, k]]
         lean = emit[:, 1:].max(1) - emit[:, 0]
-        worth = np.maximum.reduceat(lean, units.first) > -1.0
+        worth = np.maximum.reduceat(lean, units.first) > self.least
         pick_ = np.flatnonzero(worth)
         by = pick_[units.length[pick_].argsort(kind="stable")]
         for part in np.array_split(by, max(1, len(by) // 2000)):
@@ -455,17 +476,16 @@ def offsets(documents: DataFrame, field: Field, doc: str = "doc_id", text: str =
 
 
 def rates(documents: DataFrame, field: Field, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Documents per source, and of how many of them each score is one half or more; pre-aggregated before the shuffle."""
-    scored = map_rows(pick(documents, doc, text, source), "k BIGINT, source STRING, toxic_score DOUBLE, nsfw_score DOUBLE", partial(_with_source, field))
-    share = lambda c: F.avg((F.col(c) >= 0.5).cast("double"))
-    return scored.groupBy("source").agg(F.count("*").alias("documents"), share("toxic_score").alias("toxic_rate"), share("nsfw_score").alias("nsfw_rate"))
+    """Documents per source, and the share of them with a span of each category, as in :func:`offending`; pre-aggregated
+    before the shuffle."""
+    found = map_rows(pick(documents, doc, text, source), "source STRING, toxic INT, nsfw INT", partial(_with_source, field))
+    return found.groupBy("source").agg(F.count("*").alias("documents"), F.avg("toxic").alias("toxic_rate"), F.avg("nsfw").alias("nsfw_rate"))
 
 
 def _with_source(field: Field):
-    inner = _scores(field)
-
     def work(docs, texts, sources):
-        for (d, t, n), s in zip(inner(docs, texts), sources, strict=True):
-            yield d, s, t, n
+        hits = {(f[0], f[1]) for f in _offending(spans(*field.tag(texts)))}
+        for n, s in enumerate(sources):
+            yield s, int((n, "toxic") in hits), int((n, "nsfw") in hits)
 
     return work
