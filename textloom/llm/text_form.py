@@ -154,8 +154,6 @@ def votes(text: str, stats: tuple, common: frozenset, letters: Letters) -> str:
         1 if in_sentences >= 0.5 and share >= 0.1 and clean else 0,
         1 if share >= 0.12 and n / m >= 7 and sparse and clean else 0,
     )
-    if prose == (1, 1) and markers < 3 and leaders < 3 and symbols < 0.2:
-        return "0000000000" + "1111"  # the other functions ask for what such a text hasn't
     tokens = text.split()
     symbols = 0.0 if leaders >= 3 else symbols
     solid = max(1, sum(map(len, tokens)))
@@ -232,9 +230,9 @@ def _vote_rows(common: frozenset, samples: list[str]):
     return work
 
 
-def load_words(common_words: DataFrame, bound: int = 50_000) -> frozenset:
-    """The words of the fixed table of frequent words, lower case; at most ``bound`` by rank."""
-    return frozenset(r[0].lower() for r in common_words.where(F.col("word").isNotNull()).orderBy("word_rank", "word").select("word").limit(bound).collect())
+def load_words(common_words: DataFrame) -> frozenset:
+    """The words of the fixed table of frequent words, lower case."""
+    return frozenset(r[0].lower() for r in common_words.where(F.col("word").isNotNull()).select("word").distinct().collect())
 
 
 def voted(documents: DataFrame, common_words: DataFrame, samples: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,8 +249,8 @@ def text_forms(documents: DataFrame, common_words: DataFrame, samples: list[str]
     rows = voted(documents, common_words, samples, doc, text).persist(StorageLevel.MEMORY_AND_DISK)
     patterns = sorted((r[0], r[1]) for r in rows.where(F.col("votes").isNotNull()).groupBy("votes").count().collect())
     form, confidence = posterior_maps(patterns)
-    at = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("votes")) if m else F.lit(None)
-    return rows.withColumn("form", at(form).cast("string")).withColumn("confidence", at(confidence).cast("double")).drop("votes")
+    table = documents.sparkSession.createDataFrame([(p, form[p], confidence[p]) for p in form], "votes STRING, form STRING, confidence DOUBLE")
+    return rows.join(F.broadcast(table), "votes", "left").select(*[c for c in rows.columns if c != "votes"], "form", "confidence")
 
 
 def posterior_maps(patterns: list[tuple[str, int]]) -> tuple[dict[str, str], dict[str, float]]:
