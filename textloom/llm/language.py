@@ -73,6 +73,9 @@ def grams(word: str) -> list[int]:
 class Model:
     """Scores per bucket, the buckets seen in training, and what calibration found."""
 
+    #: Words whose scores are kept at a time; beyond them remembering starts anew.
+    REMEMBERED = 300_000
+
     def __init__(self, langs: list[str], table: np.ndarray, seen: np.ndarray, temperature: float, familiar: float, common: dict[str, list[int]]):
         self.langs, self.table, self.seen, self.temperature, self.familiar, self.common = langs, table, seen, temperature, familiar, common
         self.rows: dict[str, int] = {}
@@ -87,7 +90,7 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Per word: summed scores, number of n-grams, number of familiar n-grams, whether frequent in each language, letters."""
         rows = self.rows
-        if len(rows) > 300_000:
+        if len(rows) > self.REMEMBERED:
             rows.clear()
         get = rows.get
         ids = [get(w, -1) for w in words]
@@ -108,6 +111,7 @@ class Model:
             self.scores[at, :k] = self.table[g].sum(0)
             self.scores[at, k] = len(g)
             self.scores[at, k + 1] = self.seen[g].sum()
+            self.scores[at, k + 2 : 2 * k + 2] = 0
             self.scores[at, [k + 2 + c for c in self.common.get(word, ())]] = 1
             self.scores[at, 2 * k + 2] = len(word)
         return at
