@@ -298,15 +298,22 @@ def _worker(samples: list[str], restored: bool, only_found: bool):
     return run
 
 
-def sample_texts(samples: DataFrame, text: str = "text", bound: int = 20_000) -> list[str]:
-    """Clean sentences on the driver: a fixed table; at most ``bound`` of them, in the order of their text."""
-    return [r[0] for r in samples.select(F.col(text)).where(F.col(text).isNotNull()).distinct().orderBy(text).limit(bound).collect()]
+def sample_texts(samples: DataFrame, text: str = "text") -> list[str]:
+    """Clean sentences of a fixed table on the driver, in the order of their text."""
+    return [r[0] for r in samples.select(F.col(text)).where(F.col(text).isNotNull()).distinct().orderBy(text).collect()]
 
 
-def repair(records: DataFrame, samples: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
-    """``key, garbled ARRAY<INT>, restored STRING`` for every row: garbled line numbers and the payload restored."""
+def repair(records: DataFrame, samples: DataFrame, key: str = "record_id", payload: str = "payload", only_garbled: bool = False) -> DataFrame:
+    """``key, garbled ARRAY<INT>, restored STRING``: garbled line numbers and the payload restored.
+
+    For every row, or only for those with garbled lines; then payloads of ASCII alone stay in the JVM and no other
+    payload comes back from Python.
+    """
     schema = f"`{key}` BIGINT, garbled ARRAY<INT>, restored STRING"
-    return records.select(F.col(key).cast("bigint").alias(key), F.col(payload).alias("payload")).mapInArrow(_renamed(_worker(sample_texts(samples), True, False), key), schema)
+    rows = records.select(F.col(key).cast("bigint").alias(key), F.col(payload).alias("payload"))
+    if only_garbled:
+        rows = rows.where(F.octet_length("payload") > F.char_length("payload"))
+    return rows.mapInArrow(_renamed(_worker(sample_texts(samples), True, only_garbled), key), schema)
 
 
 def garbled_records(records: DataFrame, samples: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:

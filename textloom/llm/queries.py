@@ -33,8 +33,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = mojibake.repair(_conversions(spark, sf_dir), _table(spark, sf_dir, "lang_samples"))
-    return fixed.where(F.size("garbled") > 0).select("record_id", F.size("garbled").alias("garbled_lines"), F.col("restored").alias("payload")).distinct()
+    fixed = mojibake.repair(_conversions(spark, sf_dir), _table(spark, sf_dir, "lang_samples"), only_garbled=True)
+    return fixed.select("record_id", F.size("garbled").alias("garbled_lines"), F.col("restored").alias("payload")).distinct()
 
 
 def _field(spark: SparkSession, sf_dir: str) -> abuse.Field:
