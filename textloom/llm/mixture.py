@@ -9,8 +9,8 @@ boundary that the sum crosses.  No document is used more than the cap allows,
 as the expected copies never exceed it.
 
 The prefix sums are found without gathering a source in one task: documents are
-put into buckets of the order, the buckets are counted (their number is fixed),
-and places are numbered within a bucket only.
+put into buckets of the order, of about ``IN_BUCKET`` documents each, the
+buckets are counted, and places are numbered within a bucket only.
 
 Defined results: a null or empty text has 0 tokens; documents without a source
 or with a source without target are not used, and are reported with share 0;
@@ -33,8 +33,8 @@ from .batches import map_rows, pick
 
 #: Vocabulary of byte-level BPE as ranks, outside the repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Buckets of the sampling order in each source.
-BUCKETS = 1024
+#: Documents of a bucket of the sampling order; a source has as many buckets as that takes.
+IN_BUCKET = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -81,12 +81,13 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = Non
 def copies(sizes: DataFrame, rate: DataFrame, doc: str = "doc_id", seed: int = 42) -> DataFrame:
     """``doc, source, tokens, copies`` by systematic sampling; documents not taken have 0."""
     order = F.xxhash64(F.lit(seed), F.col(doc))
-    placed = sizes.where(F.col("source").isNotNull()).withColumn("o", order).withColumn("b", F.floor((F.col("o") / F.lit(float(1 << 63)) + 1) / 2 * BUCKETS).cast("int"))
+    sources = F.broadcast(rate.select("source", "rate", F.ceil((F.col("documents") + 1) / IN_BUCKET).alias("buckets")))  # one row per source
+    placed = sizes.where(F.col("source").isNotNull()).join(sources.select("source", "buckets"), "source").withColumn("o", order)
+    placed = placed.withColumn("b", F.floor((F.col("o") / F.lit(float(1 << 63)) + 1) / 2 * F.col("buckets"))).drop("buckets")
     counts = placed.groupBy("source", "b").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["before"])
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
-    # at most BUCKETS rows per source on this side
-    bounds = before.join(F.broadcast(rate.select("source", "rate")), "source").select("source", "b", "before", "rate", offset.alias("offset"))
+    bounds = before.join(sources, "source").select("source", "b", "before", "rate", offset.alias("offset"))
     place = F.row_number().over(Window.partitionBy("source", "b").orderBy("o", doc, "tokens"))
     at = placed.withColumn("place", place).join(bounds, ["source", "b"])
     end = (F.col("before") + F.col("place")) * F.col("rate") + F.col("offset")
