@@ -132,6 +132,15 @@ def test_forms_frames(spark, tables):
     assert text_form.text_forms(df.limit(0), tables[1], all_samples()).count() == 0
 
 
+def test_every_function_votes(spark, tables):
+    """Prose, too, gets the votes of all functions, not those that prose usually has."""
+    common = frozenset(" ".join(WORDS.values()).split()) | frozenset("it would they them could when knew near".split())
+    letters = text_form.Letters(all_samples())
+    text = PROSE + "v1.2.x-3 4.5 6.7 8,9 10:11 12 13 14 15 16 17 18 19 20."
+    got = text_form.votes(text, text_form.statistics(text, common), common, letters)
+    assert len(got) == 14 and got[10:12] == "11" and got[13] == "0"
+
+
 def test_statistics():
     assert text_form.statistics("The mill.\nno end, x", frozenset(["the"])) == (5, 13 / 5, 2 / 15, 0.5, 0.2)
 
@@ -149,6 +158,15 @@ def test_languages(spark, tables):
     assert language.mislabelled(df.limit(0), model).count() == 0
 
 
+def test_remembered_words_start_clean():
+    model = language.train([(c, t) for c, ts in SENTENCES.items() for t in ts], [(c, w) for c, ws in WORDS.items() for w in ws.split()])
+    want = model.words(["banana", "river"]).copy()
+    other = language.train([(c, t) for c, ts in SENTENCES.items() for t in ts], [(c, w) for c, ws in WORDS.items() for w in ws.split()])
+    other.REMEMBERED = 1
+    other.words(["the", "of", "und"])
+    assert (other.words(["banana", "river"]) == want).all()
+
+
 @pytest.mark.parametrize(("label", "code"), [("en-US", "en"), ("English", "en"), ("deu", "de"), ("pt_BR", "pt"), ("zh-Hans", "zh"), ("und", None), ("", None), (None, None), ("unknown", None), (" FR ", "fr")])
 def test_label_codes(label, code):
     assert language.label_code(label) == code
@@ -296,6 +314,28 @@ def test_marginals_equal_brute_force():
     assert np.allclose(post[0], want / want.sum(1, keepdims=True))
 
 
+def test_units_left_out_have_no_spans():
+    """Spans with the bound on leaning are those of the recursions over all units."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        trans = rng.normal(0, 2, (3, 3))
+        least = abuse.least_lean(trans)
+        emit = rng.normal(0, 3, (200, 12, 3))
+        emit[..., 1:] += emit[..., :1] + least - (emit[..., 1:] - emit[..., :1]).max((1, 2), keepdims=True) - emit[..., :1]
+        assert (emit[..., 1:] - emit[..., :1]).max() < 40
+        lean = (emit[..., 1:].max(2) - emit[..., 0]).max(1)
+        low = emit[lean <= least]
+        if len(low):
+            post, _, _ = abuse.marginals(low, np.ones(low.shape[:2], bool), trans)
+            assert post[..., 1:].max() <= 0.5
+    texts = [f"the mill of the town and the {'worthless moron nobody wants you ' * (i % 3 == 0)} river." for i in range(150)]
+    field = abuse.fit(texts, np.array([[int(i % 3 == 0), 0] for i in range(150)]))
+    some = texts[:9] + ["you worthless town moron and the mill", "river wants nobody"]
+    with_bound = abuse.spans(*field.tag(some))
+    field.least = -1e9
+    assert abuse.spans(*field.tag(some)) == with_bound and with_bound
+
+
 def test_abusive_passages(spark):
     rng = random.Random(2)
     plain = lambda: " ".join(rng.choice("river town mill stone keeper letter bridge storm".split()) for _ in range(9)) + ". "
