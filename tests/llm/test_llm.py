@@ -352,32 +352,49 @@ def test_abusive_passages(spark):
     assert abuse.offending(df, abuse.fit([], np.zeros((0, 2)))).count() == 0
 
 
-LEXICON = [("name", "instance", "vera", "person", 0.4, 9), ("figure", "pattern", "call", "phone", 0.9, 9), ("figure", "instance", "999-999-9999", "phone", 0.8, 9), ("figure", "pattern", "ssn:", "id_number", 1.0, 9), ("address", "instance", "street", "address", 1.0, 9), ("address", "instance", "weg", "address", 0.5, 9), ("address", "instance", "rue", "address", 1.0, 9)]
-
-
-@pytest.mark.parametrize(
-    ("text", "found"),
-    [
-        ("write to a.b+c@mail.test.", [("a.b+c@mail.test", "email")]),
-        ("at kim (at) host [dot] test now", [("kim (at) host [dot] test", "email")]),
-        ("logo@2x.png and user@localhost and @night_owl", []),
-        ("call 212-555-0101 now", [("212-555-0101", "phone")]),
-        ("call ２１２-５５５-０１０１ now", [("２１２-５５５-０１０１", "phone")]),
-        ("SSN: 912-34-5678.", [("912-34-5678", "id_number")]),
-        ("Part no. 912-34-5678 fits", []),
-        ("Mr Vera D. Dyrkska, left", [("Vera D. Dyrkska", "person")]),
-        ("asked Dyrkska, Vera today", [("Dyrkska, Vera", "person")]),
-        ("we live at 12 Old Mill Street now", [("12 Old Mill Street", "address")]),
-        ("The 12 Mill Street project", []),
-        ("auf dem Marktweg 85 Leute", []),
-        ("ging an Waldweg 14 zurück", [("Waldweg 14", "address")]),
-        ("Adresse : 5 bis, rue des Moulins", [("5 bis, rue des Moulins", "address")]),
-        ("", []),
-    ],
-)
-def test_personal_information(text, found):
-    got = [(text[a:b], k) for a, b, k in pii.find(pii.Lexicon(LEXICON), text)]
-    assert got == found
+SCORES = [("name", "instance", "vera", "person", 0.4), ("name", "instance", "o'dell", "person", 0.4), ("figure", "pattern", "call", "phone", 0.9), ("figure", "instance", "999-999-9999", "phone", 0.8), ("figure", "pattern", "ssn:", "id_number", 1.0), ("figure", "pattern", "part no.", "none", 1.0), ("address", "instance", "street", "address", 1.0), ("address", "instance", "weg", "address", 0.5), ("address", "instance", "rue", "address", 1.0)]
+SCORES += [("mail", "instance", x, "email", 0.9) for x in ("@", "(at)", " (at) ", " (arobase) ", " (arroba) ")] + [("figure", "instance", f"words {n}", "phone", 0.9) for n in (8, 9)]
+MENTIONS = [
+    ("write to a.b+c@mail.test.", [("a.b+c@mail.test", "email")]),
+    ("at kim (at) host [dot] test now", [("kim (at) host [dot] test", "email")]),
+    ("jean.d (arobase) exemple.fr", [("jean.d (arobase) exemple.fr", "email")]),
+    ("jean.d (arroba) ejemplo.es", [("jean.d (arroba) ejemplo.es", "email")]),
+    ("logo@2x.png and user@localhost and @night_owl", []),
+    ("one two three four one two three four one", [("one two three four one two three four one", "phone")]),
+    ("zwei drei vier sechs sieben acht neun zwei", [("zwei drei vier sechs sieben acht neun zwei", "phone")]),
+    ("call 212-555-0101 now", [("212-555-0101", "phone")]),
+    ("call ２１２-５５５-０１０１ now", [("２１２-５５５-０１０１", "phone")]),
+    ("SSN: 912-34-5678.", [("912-34-5678", "id_number")]),
+    ("Part no. 912-34-5678 fits", []),
+    ("Mr Vera D. Dyrkska, left", [("Vera D. Dyrkska", "person")]),
+    ("asked Dyrkska, Vera today", [("Dyrkska, Vera", "person")]),
+    ("asked vera dyrkska today", [("vera dyrkska", "person")]),
+    ("met O'Dell Brown there", [("O'Dell Brown", "person")]),
+    ("we live at 12 Old Mill Street now", [("12 Old Mill Street", "address")]),
+    ("The 12 Mill Street project", []),
+    ("auf dem Marktweg 85 Leute", []),
+    ("ging an Waldweg 14 zurück", [("Waldweg 14", "address")]),
+    ("Adresse : 5 bis, rue des Moulins", [("5 bis, rue des Moulins", "address")]),
+    ("", []),
+    (None, []),
+]
+
+
+@pytest.mark.parametrize("more_names", [0, 600])
+def test_personal_information(spark, more_names):
+    """The same mentions however many first names are trusted."""
+    names = [("name", "instance", f"zz{i}name", "person", 0.4) for i in range(more_names)]
+    nodes = pii.by_kind(spark.createDataFrame(SCORES + names, "family STRING, side STRING, node STRING, kind STRING, score DOUBLE"))
+    texts = pii.pick(frame(spark, [t for t, _ in MENTIONS]), "doc_id", "text")
+    found = pii.map_rows(texts, pii._SCHEMA, pii._mentioned)
+    rows = {r.k: sorted(r.found) for r in pii.extracted(texts, found, nodes, spark.createDataFrame([], "ending STRING")).collect()}
+    for n, (text, want) in enumerate(MENTIONS, 1):
+        assert [(text[x.a : x.b], x.kind) for x in rows.get(n, [])] == want
+
+
+def test_patterns_reach_back_as_far_as_the_words_go():
+    assert pii.before("call " + "x" * 500 + " ", 506, 2) == ["call " + "x" * 500, "x" * 500]
+    assert pii.before("", 0, 3) == ["", "", ""] and pii.before("call ", 5, 3) == ["call", "", ""]
 
 
 def test_bootstrapping(spark):

@@ -27,7 +27,7 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Bounds of pieces of at most CHUNK texts and about CHUNK_CHARS characters."""
     start = size = 0
     for n, t in enumerate(texts):
-        size += len(t or "")
+        size += len(t) if isinstance(t, str) else 1
         if n + 1 - start >= CHUNK or size >= CHUNK_CHARS:
             yield start, n + 1
             start, size = n + 1, 0

@@ -1,17 +1,22 @@
 """Problem 1: personal information inside free text.
 
-Bootstrapped contextual extraction.  Every text yields mentions of the right
-build: figures, names, addresses, e-mail addresses.  A mention is an instance
-(the build of a figure, a first name, a kind of street) in a lexical pattern
+Bootstrapped contextual extraction.  One pass over the texts yields mentions of
+the right build: figures, numbers in words, addresses, e-mail addresses, an
+initial with a surname.  A mention is an instance (the build of a figure, a
+first name, a kind of street, a way to write the at sign) in lexical patterns
 (the words before it).  Spark counts the graph of patterns and instances over
 all documents and scores it iteratively: seed instances and seed patterns have
 fixed scores, each other pattern gets the mean score of its instances and each
-other instance the mean score of its patterns.  Patterns of high confidence
-then extract identifiers whose build alone says too little, and first names
-learned from patterns find names in patterns that say nothing.
+other instance the mean score of its patterns.
 
-A check of each mention's build follows.  Placeholders are typed and the rest of the text
-is left as it is.
+The mentions are then joined with the scores of their patterns and instances
+and judged by both.  Names are found by the first names that the graph trusts:
+a second, light pass yields the words that may be one, by a bitmap of fixed
+size in which every trusted first name has its bit, and a join settles them.
+No list of nodes goes to the executors or the driver.
+
+A check of each mention's build belongs to it.  Placeholders are typed and the
+rest of the text is left as it is.
 
 Defined results: null and blank texts have no mentions; a text without mentions
 is unchanged; overlapping mentions count once, the longer one first, then the
@@ -22,26 +27,33 @@ earlier; repeated rows give rows of their own in :func:`masked` and one in
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from functools import lru_cache, partial
+from functools import partial
 
-from pyspark.sql import DataFrame
+import numpy as np
+import xxhash
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows, pick
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 ROUNDS = 3
-#: Nodes that reach the executors: at most so many patterns and instances, the most frequent first, of those above TRUST.
-NODES = 20_000
-TRUST = {"figure": 0.25, "address": 0.4, "name": 0.05}  # most names stand in patterns that other words share
-SUPPORT = 3
+#: From what score on a mention is taken; most names stand in patterns that other words share.
+TRUST = {"figure": 0.25, "address": 0.4, "mail": 0.3, "name": 0.05}
+#: A node speaks from this score on and from so many occurrences on.
+LEAST, SUPPORT = 0.05, 3
+#: Bits of the map of first names.
+BITS = 22
 
 #: Seeds.  Patterns are the lower-case words before a mention, figures as 9 and names as X.
 SEED_PATTERNS = {
     "phone": "tel. tel phone phone: telephone telefon teléfono téléphone tél tél. call mobile handy móvil portable rufnummer".split(),
     "id_number": ["passport", "ssn:", "ssn", "security number", "insurance number", "tax id", "steuernummer", "versicherungsnummer", "sécurité sociale", "dni", "d'identité n°", "de identidad", "personal number", "ausweisnummer", "steuernummer lautet", "dni es", "id no.", "personalausweis", "ausweis"],
     "person": ["name is", "ich heiße", "je m'appelle", "me llamo", "mr", "mrs", "ms", "dr.", "dr", "frau", "herr", "madame", "monsieur", "mme", "señora", "señor", "prof.", "name:", "mi chiamo", "signora", "signor"],
+    "email": ["e-mail", "e-mail:", "email", "email:", "mailto", "mail", "courriel :", "correo:", "schreiben an", "write to"],
     "address": ["live at", "address:", "adresse :", "adresse:", "adresse ist", "dirección:", "moved to", "flat at", "wohne in", "vivimos en", "habite au"],
 }
 SEED_NONE = ["part no.", "order number", "tracking code", "isbn", "unix time", "build", "version", "section", "total:", "score was", "between", "server at", "article no.", "invoice no.", "item no.", "the", "in"]
@@ -49,6 +61,7 @@ SEED_SHAPES = {
     "phone": ["(999) 999-9999", "+9 999 999 9999", "9-999-999-9999", "999.999.9999", "+99 99 99999-999", "+99 (9)99 9999 9999", "+99 99 99999999", "+99 9 99 99 99 99", "999 9999 9999", "(999) 99999 999", "999/99999999"],
     "id_number": ["XX 99 99 99 X", "X99999999", "99999999X", "9 99 99 99 999 999 99"],
     "address": ["street", "road", "avenue", "straße", "rue", "calle", "avenida"],
+    "email": ["@", "&#64;", "%40"],
     "person": [],
 }
 
@@ -58,20 +71,19 @@ _UNUSUAL = re.compile("[" + "".join(map(chr, _FULLWIDTH)) + "]")
 
 _LOCAL = r"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ._%+\-]*[A-Za-z0-9À-ÿ_])?"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto)\s?[\])}]\s?|\s(?:dot|DOT|punkt)\s)"
+_SIGN = r"(?:@|\s?[\[({]\s?(?:at|@|arobase|arroba)\s?[\])}]\s?|&#64;|%40|\s@\s|\sat\s(?=\S+(?:\s(?:dot|punkt)\s|\s?[\[({]\s?(?:dot|punkt|point|punto)|\.(?:test|example|invalid|com|org|net|de|fr|es|it|pt|ru|co|info|eu)\b)))"
+_AT = re.compile(_SIGN, re.I)
 _EMAIL = re.compile(
-    rf"{_LOCAL}(?:@|\s?[\[({{]\s?(?:at|@|arobase|arroba)\s?[\])}}]\s?|&#64;|%40|\s@\s|\s(?:AT|at)\s(?=\S+(?:\s(?:dot|DOT)\s|\s?[\[({{]\s?(?:dot|DOT)|\.(?:test|example|invalid|com|org|net|de|fr|es|it|pt|ru|co|info|eu)\b)))"
+    rf"{_LOCAL}({_SIGN})"
     rf"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ-]*[A-Za-z0-9À-ÿ])?(?:{_DOT}[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ-]*[A-Za-z0-9À-ÿ])?)*{_DOT}[A-Za-z]{{2,}}",
     re.I,
 )
-_AT = re.compile(r"@|&#64;|%40|[\[({]\s?(?:at|arobase|arroba)\s?[\])}]|\sat\s\S+\sdot\s|\sAT\s", re.I)
-_AT_HINTS = ("@", "&#64;", "%40", "at)", "at]", "at}", "AT)", "AT]", " AT ", " dot ", " DOT ")
 _NOT_MAIL = re.compile(r"@\d+x\.|\.(?:png|jpe?g|gif|svg|webp|css|js)$", re.I)
 _FIGURE = re.compile(
     r"(?<![\w.,@#+/-])(?:\+|\((?=\d{2,5}\)))?(?:[A-Z]{1,2} ?(?=\d))?\d(?:[\d]|[ ]?[-/.()][ ]?(?=[\d(])|\)? (?=[\d(])|\) ?[-.]? ?(?=\d)|(?<=\d) (?=[A-Z] \d)|(?<= )[A-Z] (?=\d))*\d(?: ?[A-Z](?![\w]))?(?![\w@]|[.,]\d|-\d)"
 )
 _DIGITS = re.compile(r"\d")
 _SPELLED = re.compile(r"(?i)\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun)\b[ -]?){7,}")
-_SPELLED_WORDS = tuple(f"{a} {b}" for a in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "oh", "null", "eins", "fünf") for b in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "oh", "null", "eins", "fünf"))
 _PHONE = re.compile(
     r"(?:\+?1[ .-]{0,3})?(?:\(\d{3}\)[ .-]{0,3}|\d{3}(?: ?[-.] ?| ?))\d{3}(?: ?[-.] ?| ?)\d{4}"
     r"|(?:\+44 ?(?:\(0\) ?)?|0)20 ?\d{4} ?\d{4}|(?:\+49|0049) ?(?:\(0\) ?)?30[ /-]?\d{4,6}[ -]?\d{2,4}|\(?030\)?[ /-]?\d{4,6}[ -]?\d{2,4}"
@@ -84,7 +96,6 @@ _ID = re.compile(
 
 _CAP = r"[A-ZÀ-ÖØ-ÞČŠŽŁ][\w'À-ÿ]*[a-zà-ÿ][\w'À-ÿ]*"
 _NAME = re.compile(rf"(?<![\w@.-])({_CAP}) (?:[A-Z]\. ){{0,2}}({_CAP}(?:-{_CAP})?)(?![\w@])")
-_TURNED = re.compile(rf"(?<![\w@.-])({_CAP}(?:-{_CAP})?), ({_CAP})(?: [A-Z]\.)?(?![\w@])")
 
 _STREETS_EN = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Close|Terrace|Drive|Dr\.?|Way|Court|Ct\.?|Place|Pl\.?|Crescent|Square|Row|Walk|Gardens|Grove|Hill|Boulevard|Blvd\.?)"
 _HOUSE = r"\d{1,4}(?:[A-Za-z]\b)?(?: ?[-/] ?\d{1,4}[A-Za-z]?)?"
@@ -93,7 +104,6 @@ _ADDRESS_DE = re.compile(rf"(?<![\w-])((?:[A-ZÄÖÜ][\wäöüß]*[- ])?[A-ZÄÖ
 _ADDRESS_FR = re.compile(rf"(?<![\w.,/-])({_HOUSE}(?: ?(?:bis|ter|quater)\b)?),? (rue|impasse|quai|avenue|av\.|allée|place|boulevard|bd|chemin|cours|passage|route|square|sentier|ruelle)((?: (?:de|du|des|de la|de l'|la|le|les|d'))*) ?[A-ZÀ-Þ][\w'À-ÿ-]+", re.I)
 _ADDRESS_ES = re.compile(rf"(?<![\w-])(Calle|C/|Avenida|Avda\.?|Av\.|Paseo|Plaza|Camino|Ronda|Carrera|Travesía|Callejón|Via|Viale|Piazza|Corso|Rua|Largo|Travessa|Praça|ул\.|улица)((?: (?:de|del|de la|de los|da|do|das|dos|della|di))*) ?[A-ZÀ-ÞА-Я][\w'À-ÿ-]+(?: [A-ZÀ-Þ][\w'À-ÿ-]+)?,? (?:n\.?º ?|núm\.? ?|nº ?)?({_HOUSE})(?![\w.,]*\d)", re.I)
 
-_BEFORE = re.compile(r"(\S+)?\s*(\S+)?\s*$")
 _QUOTE = "\"'“”‘’«»([<{*>"
 
 
@@ -118,11 +128,16 @@ def _token(w: str) -> str:
 _KEEP = frozenset(w for ws in SEED_PATTERNS.values() for p in ws for w in p.split()) | frozenset("mail adresse dirección ssn id no nr phone tel telefon mobile fax call ring rufen sie appelez llame nummer number isbn order part tracking build total".split())
 
 
-def before(text: str, at: int, n: int = 2) -> tuple[str, str]:
-    """Patterns of the n words and of the one word before a position."""
-    words = text[max(0, at - 60) : at].replace("\n", " ").rsplit(None, n)[-n:]
-    two = " ".join(filter(None, map(_token, words)))
-    return two, two.rsplit(" ", 1)[-1]
+def before(text: str, at: int, n: int = 2) -> list[str]:
+    """The patterns of the last n, n - 1, .. words before a position."""
+    reach = 80
+    while True:
+        words = text[max(0, at - reach) : at].split()
+        if len(words) > n or reach >= at:
+            break
+        reach *= 4
+    tokens = list(map(_token, words[-n:]))
+    return [" ".join(filter(None, tokens[k:])) for k in range(max(1, len(tokens)))] + [""] * (n - max(1, len(tokens)))
 
 
 def shape(figure: str) -> str:
@@ -175,61 +190,86 @@ def addresses(text: str):
                 yield m.start(), m.end(), m.group(group).lower().rstrip(".")
 
 
-def _pairs(text: str) -> Counter:
-    """Counts of (family, pattern, instance) in one text."""
-    out: Counter = Counter()
-    if _FIGURE.search(text):
-        for a, b, inst, _, _ in figures(text):
-            two, one = before(text, a)
-            out["figure", two, inst] += 1
-            three = before(text, a, 3)[0]
-            if three != two:
-                out["figure", three, inst] += 1
-            if one != two:
-                out["figure", one, inst] += 1
-    for a, _, inst in addresses(text):
+_SCHEMA = "what STRING, k BIGINT, h BIGINT, a INT, b INT, p3 STRING, p2 STRING, p1 STRING, inst STRING, phone BOOLEAN, ident BOOLEAN, small BOOLEAN, n BIGINT"
+
+
+def text_hash(text: str) -> int:
+    """The text's hash as Spark's ``xxhash64`` has it: with the key it names a row whose key recurs with another text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def seen(text: str, edges: Counter):
+    """(what, start, end, patterns of three, two and one words, instance, phone, ident, small) for the mentions of a text;
+    their edges (family, pattern, instance) are added to ``edges``."""
+
+    def linked(family, patterns, inst):
+        for p in dict.fromkeys(patterns):
+            edges[family, p, inst] += 1
+
+    if _AT.search(text):
+        for m in _EMAIL.finditer(text):
+            if not _NOT_MAIL.search(m.group()) and not m.group().lower().endswith("localhost"):
+                two, one = before(text, m.start())
+                sign = m.group(1).strip().lower() if m.group(1).strip() == m.group(1) or m.group(1).strip() == "@" else f" {m.group(1).strip().lower()} "
+                linked("mail", (two, one), sign)
+                yield "mail", m.start(), m.end(), "", two, one, sign, False, False, False
+    for a, b, inst, phone, ident in figures(text):
+        three, two, one = before(text, a, 3)
+        linked("figure", (three, two, one), inst)
+        yield "figure", a, b, three, two, one, inst, phone, ident, False
+    for m in _SPELLED.finditer(text):
+        three, two, one = before(text, m.start(), 3)
+        inst = f"words {len(re.findall('[^ -]+', m.group()))}"
+        linked("figure", (three, two, one), inst)
+        yield "figure", m.start(), m.end() - (m.group()[-1] in " -"), three, two, one, inst, True, False, False
+    for a, b, inst in addresses(text):
         two, one = before(text, a)
-        out["address", two, inst] += 1
-        if one != two:
-            out["address", one, inst] += 1
+        linked("address", (two, one), inst)
+        word = text[max(0, a - 12) : a].split()
+        if not (word and text[a - 1].isspace() and word[-1].lower() in _DETERMINER):
+            yield "address", a, b, "", two, one, inst, False, False, not any(c.isupper() for c in text[a:b])
     for m in _NAME.finditer(text):
-        two, one = before(text, m.start())
         inst = m.group(1).lower()
+        two, one = before(text, m.start())
         if one[:1].islower() or one[-1:] == "," or one in ("9", "-", "*") or not one:
-            out["name", two, inst] += 1
-            out["name", one, inst] += 1
-        out["ending", inst, "~" + _ending(m.group(2))] += 1
-    return out
+            edges["name", two, inst] += 1
+            edges["name", one, inst] += 1
+        edges["ending", inst, _ending(m.group(2))] += 1
+    for m in _INITIAL.finditer(text):
+        two, one = before(text, m.start())
+        yield "initial", m.start(), m.end(), "", two, one, _ending(m.group(1)), False, False, False
 
 
-def _count():
-    def work(_docs, texts):
-        total: Counter = Counter()
-        for t in texts:
+def _mentioned():
+    def work(docs, texts):
+        edges: Counter = Counter()
+        for d, t in zip(docs, texts, strict=True):
             if t and t.strip():
-                total.update(_pairs(plain(t)))
-        for (family, pattern, inst), n in total.items():
-            yield family, pattern, inst, n
+                h = text_hash(t)
+                for what, a, b, p3, p2, p1, inst, phone, ident, small in seen(plain(t), edges):
+                    yield what, d, h, a, b, p3, p2, p1, inst, phone, ident, small, 1
+        for (family, pattern, inst), n in edges.items():
+            yield f"edge {family}", None, None, None, None, None, None, pattern, inst, None, None, None, n
 
     return work
 
 
-def graph(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def graph(found: DataFrame) -> DataFrame:
     """``family, pattern, instance, n``: how often each pattern stands before each instance, over all documents."""
-    rows = map_rows(pick(documents, doc, text), "family STRING, pattern STRING, instance STRING, n BIGINT", _count)
+    rows = found.where(F.col("what").startswith("edge ")).select(F.expr("substr(what, 6)").alias("family"), F.col("p1").alias("pattern"), F.col("inst").alias("instance"), "n")
     return rows.groupBy("family", "pattern", "instance").agg(F.sum("n").alias("n"))
 
 
-def endings(edges: DataFrame, first: list[str], least: int = SUPPORT) -> list[tuple]:
-    """Surname endings that follow trusted first names at least half the time, at most NODES of them."""
-    own = edges.where(F.col("family") == "ending")
-    yes = F.sum(F.when(F.col("pattern").isin(first), F.col("n")).otherwise(0))
-    rows = own.groupBy("instance").agg(yes.alias("yes"), F.sum("n").alias("n")).where((F.col("yes") >= least) & (F.col("yes") >= 0.5 * F.col("n"))).orderBy(F.desc("yes"), "instance").limit(NODES).collect()
-    return [("ending", "instance", r["instance"], "person", r["yes"] / r["n"], r["n"]) for r in rows]
+def endings(edges: DataFrame, first: DataFrame, least: int = SUPPORT) -> DataFrame:
+    """``ending``: surname endings that follow trusted first names at least half the time."""
+    own = edges.where(F.col("family") == "ending").join(first.select(F.col("node").alias("pattern"), F.lit(1).alias("yes")), "pattern", "left")
+    rows = own.groupBy(F.col("instance").alias("ending")).agg(F.sum(F.when(F.col("yes") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n"))
+    return rows.where((F.col("yes") >= least) & (F.col("yes") >= 0.5 * F.col("n"))).select("ending")
 
 
 #: What a family's mentions can be, besides nothing.
-FAMILIES = {"figure": ("phone", "id_number"), "name": ("person",), "address": ("address",)}
+FAMILIES = {"figure": ("phone", "id_number"), "name": ("person",), "address": ("address",), "mail": ("email",)}
 
 
 def _seeds(spark) -> DataFrame:
@@ -244,30 +284,28 @@ def _seeds(spark) -> DataFrame:
 def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``family, side, node, kind, score, n``: iterated mean scores over the graph; seeds keep theirs.
 
-    Each round joins scores to edges by one side and averages them by the other.  The lineage is cut with
-    checkpoint() where the session has a checkpoint folder.
+    Each round joins scores to edges by one side and averages them by the other; what it gives is cut from its lineage.
     """
     spark = edges.sparkSession
     seeds = _seeds(spark)
     held = F.broadcast(seeds)  # some dozens of rows
-    current = seeds.where((F.col("side") == "pattern")).select("family", F.col("node").alias("pattern"), "kind", F.lit(1.0).alias("score"))
+    current = seeds.where((F.col("side") == "pattern") & (F.col("kind") != "none")).select("family", F.col("node").alias("pattern"), "kind", F.lit(1.0).alias("score"))
+    base = edges.where((F.col("pattern") != "") & (F.col("family") != "ending"))
+    totals = {side: base.groupBy("family", side).agg(F.sum("n").alias("all")) for side in ("instance", "pattern")}
     done = {}
     for k in range(2 * rounds):
         side, other = ("instance", "pattern") if k % 2 == 0 else ("pattern", "instance")
         fixed = held.where(F.col("side") == side).select("family", F.col("node").alias(side), F.col("kind").alias("seed"))
-        base = edges.where(F.col("pattern") != "")
-        total = base.groupBy("family", side).agg(F.sum("n").alias("all"))
         mass = base.join(current, ["family", other]).groupBy("family", side, "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
         # what no pattern or instance speaks for counts as half a mention of nothing
-        nxt = mass.join(total, ["family", side]).select("family", side, "kind", (F.col("mass") / (F.col("all") + 0.5)).alias("score"))
+        nxt = mass.join(totals[side], ["family", side]).select("family", side, "kind", (F.col("mass") / (F.col("all") + 0.5)).alias("score"))
         free = nxt.join(fixed, ["family", side], "left_anti")
         pinned = fixed.select("family", side, F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        current = free.unionByName(pinned).where((F.col("kind") != "none") & (F.col("score") > 0.05))
-        if k >= 2 * rounds - 2:
-            done[side] = current.select("family", F.lit(side).alias("side"), F.col(side).alias("node"), "kind", "score")
-    counts = edges.groupBy("family", F.col("pattern").alias("node")).agg(F.sum("n").alias("n")).withColumn("side", F.lit("pattern")).unionByName(edges.where(F.col("pattern") != "").groupBy("family", F.col("instance").alias("node")).agg(F.sum("n").alias("n")).withColumn("side", F.lit("instance")))
+        current = _cut(free.unionByName(pinned).where((F.col("kind") != "none") & (F.col("score") > LEAST)))
+        done[side] = current.select("family", F.lit(side).alias("side"), F.col(side).alias("node"), "kind", "score")
+    counts = [totals[side].select("family", F.lit(side).alias("side"), F.col(side).alias("node"), F.col("all").alias("n")) for side in totals]
     scores = done["instance"].unionByName(done["pattern"])
-    return scores.join(counts, ["family", "side", "node"], "left")
+    return scores.join(counts[0].unionByName(counts[1]), ["family", "side", "node"], "left")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -279,128 +317,128 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() else df.persist()
 
 
-class Lexicon:
-    """Trusted patterns and instances: score by (family, side, node) and kind."""
-
-    def __init__(self, rows: list[tuple[str, str, str, str, float, int]]):
-        self.table: dict[tuple, dict[str, float]] = {}
-        for family, side, node, kind, value, _ in rows:
-            self.table.setdefault((family, side, node), {})[kind] = value
-        self.first = frozenset(n for (f, s, n), v in self.table.items() if f == "name" and s == "instance" and v.get("person", 0) >= TRUST["name"])
-        self.endings = frozenset(n[1:] for (f, s, n), v in self.table.items() if f == "ending" and v.get("person", 0) >= 0.5)
-
-    def get(self, family: str, side: str, node: str, kind: str) -> float | None:
-        got = self.table.get((family, side, node))
-        return None if got is None else got.get(kind, 0.0)
-
-
-def learn(documents: DataFrame, doc: str = "doc_id", text: str = "text", bound: int = NODES) -> Lexicon:
-    """The lexicon from all documents; the driver gets at most ``bound`` nodes, the most frequent."""
-    edges = _cut(graph(documents, doc, text))
-    nodes = score(edges.where(F.col("family") != "ending")).where((F.col("score") >= TRUST["name"]) & (F.coalesce("n", F.lit(0)) >= SUPPORT))
-    rows = nodes.orderBy(F.desc("n"), "family", "side", "node", "kind").limit(bound).collect()
-    seeds = [(f, "pattern", p, k, 1.0, 0) for f, ks in FAMILIES.items() for k in ks for p in SEED_PATTERNS[k]]
-    first = [r["node"] for r in rows if r["family"] == "name" and r["side"] == "instance" and r["kind"] == "person"]
-    return Lexicon(seeds + endings(edges, first) + [(r["family"], r["side"], r["node"], r["kind"], r["score"], r["n"]) for r in rows])
-
-
-def _judge_figure(lex: Lexicon, text: str, a: int, inst: str, phone: bool, ident: bool) -> str | None:
-    """phone, id_number or None: the pattern decides where it is known, the build where it isn't."""
-    two, one = before(text, a)
-    best: dict[str, float] = {}
-    known = False
-    for p, w in ((before(text, a, 3)[0], 1.0), (two, 1.0), (one, 0.8)):
-        got = lex.table.get(("figure", "pattern", p))
-        if got is not None:
-            known = True
-            for k, v in got.items():
-                best[k] = max(best.get(k, 0.0), v * w)
-    if any(two.endswith(s) for s in SEED_NONE if s not in ("the", "in")):
-        return None
-    own = lex.table.get(("figure", "instance", inst), {})
-    marks = {"phone": phone, "id_number": ident}
-    scored = {k: (0.6 * best.get(k, 0.0) + 0.4 * own.get(k, 0.0) if known else 0.75 * own.get(k, 0.0)) for k, ok in marks.items() if ok}
-    kind = max(scored, key=scored.get, default=None)
-    return kind if kind and scored[kind] >= TRUST["figure"] else None
-
-
-def find(lex: Lexicon, text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal information in a text."""
-    t = plain(text)
-    out: list[tuple[int, int, str]] = []
-    if any(x in t for x in _AT_HINTS) and _AT.search(t):
-        for m in _EMAIL.finditer(t):
-            if not _NOT_MAIL.search(m.group()) and not m.group().lower().endswith("localhost"):
-                out.append((m.start(), m.end(), "email"))
-    if _FIGURE.search(t):
-        for a, b, inst, phone, ident in figures(t):
-            kind = _judge_figure(lex, t, a, inst, phone, ident)
-            if kind:
-                out.append((a, b, kind))
-    low = t.lower()
-    if ("five" in low or "zero" in low or "eight" in low or "null" in low or "fünf" in low) and sum(w in low for w in _SPELLED_WORDS) >= 3:
-        for m in _SPELLED.finditer(t):
-            out.append((m.start(), m.end() - (m.group()[-1] in " -"), "phone"))
-    for a, b, inst in addresses(t):
-        two, one = before(t, a)
-        known = max(lex.get("address", "pattern", two, "address") or 0, lex.get("address", "pattern", one, "address") or 0, lex.get("address", "instance", inst, "address") or 0)
-        word = t[max(0, a - 12) : a].split()
-        if word and t[a - 1].isspace() and word[-1].lower() in _DETERMINER:
-            continue
-        if not any(c.isupper() for c in t[a:b]):  # written small: only where the pattern says so
-            known = max(lex.get("address", "pattern", two, "address") or 0, lex.get("address", "pattern", one, "address") or 0)
-        if known >= TRUST["address"]:
-            out.append((a, b, "address"))
-    out += _people(lex, t)
-    out.sort(key=lambda x: (x[0] - x[1], x[0]))
-    kept: list[tuple[int, int, str]] = []
-    for x in out:
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+def trusted(edges: DataFrame) -> DataFrame:
+    """``family, side, node`` with a score per kind: the nodes that may speak, and the seeds.
 
+    Seeds of nothing have the kind ``none``.
+    """
+    learnt = score(edges).where((F.col("score") >= LEAST) & (F.coalesce("n", F.lit(0)) >= SUPPORT)).select("family", "side", "node", "kind", "score")
+    seeds = _seeds(edges.sparkSession).where(F.col("side") == "pattern").select("family", "side", "node", "kind", F.lit(1.0).alias("score"))
+    return by_kind(learnt.unionByName(seeds))
 
-_SURNAME = r"[\w'À-ÿ]{3,}(?:-[\w'À-ÿ]{3,})?"
-_INITIAL = re.compile(rf"(?<![\w@.-])[A-Z]\. (?:[A-Z]\. )?({_CAP}(?:-{_CAP})?)(?![\w@])")
 
+def by_kind(scores: DataFrame) -> DataFrame:
+    """``family, side, node, kind, score`` with a column for each kind."""
+    return scores.groupBy("family", "side", "node").agg(*[F.max(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in (*KINDS, "none")])
 
-_LOW = re.compile(r"[^\W\d_]+")
 
+def _spoken(rows: DataFrame, nodes: DataFrame, family: str, *columns: str) -> DataFrame:
+    """The rows with the scores of the nodes named in the columns, in structs ``s_..``; null where a node doesn't speak."""
+    for c in columns:
+        side = nodes.where((F.col("family") == family) & (F.col("side") == ("instance" if c == "inst" else "pattern")))
+        rows = rows.join(side.select(F.col("node").alias(c), F.struct(*KINDS, "none").alias(f"s_{c}")), c, "left")
+    return rows
 
-@lru_cache(maxsize=4096)
-def _whole(name: str) -> re.Pattern:
-    return re.compile(rf"(?<![^\W\d_]){re.escape(name)}(?![^\W\d_])")
 
+def _best(kind: str, weights: dict[str, float]) -> Column:
+    return F.greatest(*[F.coalesce(F.col(f"s_{c}.{kind}") * w, F.lit(0.0)) for c, w in weights.items()], F.lit(0.0))
 
-@lru_cache(maxsize=4096)
-def _name_patterns(names: str) -> tuple[re.Pattern, re.Pattern]:
-    return (
-        re.compile(rf"(?<![\w@.-])({_SURNAME}),\s({names})(?:\s[A-Z]\.)?(?![\w@]|-\w)", re.I),
-        re.compile(rf"(?<![\w@.+_-])({names})\s(?:([A-Z]\.)(?:\s|(?=\W|$))){{0,2}}({_SURNAME})?(?![\w@]|\.\w+@)", re.I),
-    )
 
+def judged(found: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """``k, h, a, b, kind`` of the mentions that their patterns and instances speak for.
 
-def _people(lex: Lexicon, t: str) -> list[tuple[int, int, str]]:
-    found: list[tuple[int, int, str]] = []
-    low = t.lower()
-    hits = [n for n in lex.first if n in low] if len(lex.first) <= 500 else lex.first.intersection(_LOW.findall(low))
-    if hits:
-        hits = [n for n in hits if _whole(n).search(low)]
-    if hits:
-        turned, straight = _name_patterns("|".join(sorted(map(re.escape, hits), key=lambda n: (-len(n), n))))
-        for m in turned.finditer(t):
-            if _surname(t, m.group(1), m.group(2)):
-                found.append((m.start(), m.end(), "person"))
-        for m in straight.finditer(t):
-            if m.group(3) and _surname(t, m.group(3), m.group(1)):
-                found.append((m.start(), m.end(), "person"))
-            elif m.group(2) and m.group(1)[0].isupper():
-                found.append((m.start(), m.end(2), "person"))
-    for m in _INITIAL.finditer(t):
-        two, one = before(t, m.start())
-        if max(lex.get("name", "pattern", two, "person") or 0, 0.9 * (lex.get("name", "pattern", one, "person") or 0)) >= 0.5 or _ending(m.group(1)) in lex.endings:
-            found.append((m.start(), m.end(), "person"))
-    return found
+    A figure is of the kind that scores best, unless a pattern of nothing scores better; where no pattern is known its
+    build alone must say more.  Addresses written small and initials need their pattern.
+    """
+    place = ["k", "h", "a", "b"]
+    f = _spoken(found.where(F.col("what") == "figure"), nodes, "figure", "p3", "p2", "p1", "inst")
+    weights = {"p3": 1.0, "p2": 1.0, "p1": 0.8}
+    known = F.coalesce("s_p3", "s_p2", "s_p1").isNotNull()
+    own = {c: _best(c, {"inst": 1.0}) for c in ("phone", "id_number")}
+    total = {c: F.when(known, 0.6 * _best(c, weights) + 0.4 * own[c]).otherwise(0.75 * own[c]) for c in own}
+    f = f.withColumns({"_phone": F.when(F.col("phone"), total["phone"]).otherwise(-1.0), "_id": F.when(F.col("ident"), total["id_number"]).otherwise(-1.0), "_none": 0.6 * _best("none", weights)})
+    f = f.where((F.greatest("_phone", "_id") >= TRUST["figure"]) & (F.greatest("_phone", "_id") > F.col("_none"))).select(*place, F.when(F.col("_phone") >= F.col("_id"), "phone").otherwise("id_number").alias("kind"))
+    a = _spoken(found.where(F.col("what") == "address"), nodes, "address", "p2", "p1", "inst")
+    a = a.where(F.when(F.col("small"), _best("address", {"p2": 1.0, "p1": 1.0})).otherwise(_best("address", {"p2": 1.0, "p1": 1.0, "inst": 1.0})) >= TRUST["address"]).select(*place, F.lit("address").alias("kind"))
+    m = _spoken(found.where(F.col("what") == "mail"), nodes, "mail", "p2", "p1", "inst")
+    m = m.where(_best("email", {"p2": 1.0, "p1": 0.8, "inst": 1.0}) >= TRUST["mail"]).select(*place, F.lit("email").alias("kind"))
+    i = _spoken(found.where(F.col("what") == "initial"), nodes, "name", "p2", "p1").join(ends.withColumnRenamed("ending", "inst").withColumn("known", F.lit(True)), "inst", "left")
+    i = i.where((_best("person", {"p2": 1.0, "p1": 0.9}) >= 0.5) | F.col("known")).select(*place, F.lit("person").alias("kind"))
+    return f.unionByName(a).unionByName(m).unionByName(i)
+
+
+def first_names(nodes: DataFrame) -> DataFrame:
+    """``node``: the first names that are trusted."""
+    return nodes.where((F.col("family") == "name") & (F.col("side") == "instance") & (F.col("person") >= TRUST["name"])).select("node")
+
+
+def bitmap(first: DataFrame) -> bytes:
+    """A bit for each first name; the driver gets at most 2**BITS places."""
+    places = [r[0] for r in first.select(F.pmod(F.xxhash64("node"), F.lit(1 << BITS)).alias("x")).distinct().collect()]
+    bits = np.zeros(1 << BITS, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits).tobytes()
+
+
+class _Maybe(dict):
+    """Whether a word may be a first name; the answers are remembered, up to a number."""
+
+    def __init__(self, packed: bytes):
+        super().__init__()
+        self.bits = np.unpackbits(np.frombuffer(packed, np.uint8))
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        low = word.lower()
+        got = self[word] = bool(self.bits[text_hash(low) & ((1 << BITS) - 1)])
+        return got
+
+
+def _named(packed: bytes):
+    maybe = _Maybe(packed)
+
+    def work(docs, texts):
+        for d, t in zip(docs, texts, strict=True):
+            if t:
+                p, h = plain(t), None
+                for m in _FIRST.finditer(p):
+                    word = m.group()
+                    name = word if maybe[word] else word[:-2] if word.endswith("'s") and maybe[word[:-2]] else None
+                    if name is not None:
+                        for a, b in people(p, m.start(), m.start() + len(name)):
+                            h = text_hash(t) if h is None else h
+                            yield d, h, a, b, name.lower()
+
+    return work
+
+
+_SURNAME = r"[\w'À-ÿ]{3,}(?:-[\w'À-ÿ]{3,})?"
+_INITIAL = re.compile(rf"(?<![\w@.-])[A-Z]\. (?:[A-Z]\. )?({_CAP}(?:-{_CAP})?)(?![\w@])")
+
+
+_FIRST = re.compile(r"(?<![\w@.+-])[^\W\d_][\w']*")
+_REST = re.compile(rf"\s(?:([A-Z]\.)(?:\s|(?=\W|$))){{0,2}}({_SURNAME})?(?![\w@]|\.\w+@)", re.I)
+_AFTER_TURNED = re.compile(r"(?:\s[A-Z]\.)?(?![\w@]|-\w)", re.I)
+_SURNAME_ONLY = re.compile(_SURNAME)
+
+
+def people(t: str, a: int, b: int):
+    """(start, end) of the names whose first name stands from a to b: with a surname or an initial behind it, or behind its surname and a comma."""
+    first = t[a:b]
+    m = _REST.match(t, b)
+    if m:
+        if m.group(2) and _surname(m.group(2), first):
+            yield a, m.end()
+        elif not m.group(2) and m.group(1) and first[0].isupper():
+            yield a, m.end(1)
+    if a >= 5 and t[a - 2] == "," and t[a - 1].isspace():
+        c = a - 2
+        while c and (t[c - 1].isalnum() or t[c - 1] in "_'-"):
+            c -= 1
+        surname, m = t[c : a - 2], _AFTER_TURNED.match(t, b)
+        if m and (not c or t[c - 1] not in "@.") and _SURNAME_ONLY.fullmatch(surname) and _surname(surname, first):
+            yield c, m.end()
 
 
 def _ending(surname: str) -> str:
@@ -408,7 +446,7 @@ def _ending(surname: str) -> str:
     return surname.removesuffix("'s")[-4:].lower()
 
 
-def _surname(t: str, surname: str, first: str) -> bool:
+def _surname(surname: str, first: str) -> bool:
     """A surname is written like the first name: with a capital, in capitals, or all lower case and no usual word."""
     if first.isupper():
         return surname.isupper()
@@ -417,42 +455,62 @@ def _surname(t: str, surname: str, first: str) -> bool:
     return surname.islower() and surname not in _KEEP and len(surname) >= 5
 
 
-def _found(shared):
-    lex = shared.value
+def _settled():
+    """Of overlapping mentions the longer one first, then the earlier."""
 
-    def work(docs, texts):
-        for d, t in zip(docs, texts, strict=True):
-            if t and t.strip():
-                for a, _, kind in find(lex, t):
-                    yield d, kind, a
+    def work(docs, hashes, found):
+        for d, h, xs in zip(docs, hashes, found, strict=True):
+            starts: list[int] = []
+            kept: list[tuple] = []
+            for x in sorted(((x["a"], x["b"], x["kind"]) for x in xs), key=lambda x: (x[0] - x[1], x)):
+                at = bisect_right(starts, x[0])
+                if (not at or kept[at - 1][1] <= x[0]) and (at == len(kept) or kept[at][0] >= x[1]):
+                    starts.insert(at, x[0])
+                    kept.insert(at, x)
+            yield d, h, [{"a": a, "b": b, "kind": kind} for a, b, kind in kept]
 
     return work
 
 
+def spans(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, h, found``: by key and hash of its text the mentions of each document that has any, as (a, b, kind)."""
+    texts = pick(documents, doc, text)
+    found = map_rows(texts, _SCHEMA, _mentioned).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = _cut(graph(found))
+    nodes = _cut(trusted(edges))
+    first = first_names(nodes)
+    return extracted(texts, found, nodes, endings(edges, first))
+
+
+def extracted(texts: DataFrame, found: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """:func:`spans` from mentions and trusted nodes."""
+    first = first_names(nodes)
+    named = map_rows(texts, "k BIGINT, h BIGINT, a INT, b INT, node STRING", partial(_named, bitmap(first)))
+    names = named.join(first, "node").select("k", "h", "a", "b", F.lit("person").alias("kind"))
+    every = judged(found, nodes, ends).unionByName(names)
+    one = every.groupBy("k", "h").agg(F.collect_set(F.struct("a", "b", "kind")).alias("found"))
+    return map_rows(one, "k BIGINT, h BIGINT, found ARRAY<STRUCT<a: INT, b: INT, kind: STRING>>", _settled)
+
+
 def mentions(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, kind, start_char`` of every piece of personal information, once each."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, doc, text))
-    return map_rows(pick(documents, doc, text), f"`{doc}` BIGINT, kind STRING, start_char INT", partial(_found, shared)).distinct()
-
+    return spans(documents, doc, text).select(F.col("k").alias(doc), F.explode("found").alias("x")).select(doc, "x.kind", F.col("x.a").alias("start_char")).distinct()
 
-def _mask(shared):
-    lex = shared.value
 
-    def work(docs, texts):
-        for d, t in zip(docs, texts, strict=True):
-            if not t:
-                yield d, t, 0
-                continue
-            out, last, spans = [], 0, find(lex, t)
-            for a, b, kind in spans:
-                out += [t[last:a], f"[{kind.upper()}]"]
-                last = b
-            yield d, "".join((*out, t[last:])), len(spans)
+def _mask():
+    def work(docs, texts, found):
+        for d, t, xs in zip(docs, texts, found, strict=True):
+            out, last = [], 0
+            for x in xs or ():
+                out += [t[last : x["a"]], f"[{x['kind'].upper()}]"]
+                last = x["b"]
+            yield d, t if t is None else "".join((*out, t[last:])), len(xs or ())
 
     return work
 
 
 def masked(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, masked, n_masked``: each text with typed placeholders for its personal information."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, doc, text))
-    return map_rows(pick(documents, doc, text), f"`{doc}` BIGINT, masked STRING, n_masked INT", partial(_mask, shared))
+    base = pick(documents, doc, text).withColumn("h", F.xxhash64("c0"))
+    rows = base.join(spans(documents, doc, text).withColumnRenamed("k", "kk").withColumnRenamed("h", "hh"), (F.col("k") == F.col("kk")) & (F.col("h") == F.col("hh")), "left")
+    return map_rows(rows.select("k", "c0", "found"), f"`{doc}` BIGINT, masked STRING, n_masked INT", _mask)
