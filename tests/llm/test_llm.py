@@ -387,7 +387,7 @@ def test_personal_information(spark, more_names):
     nodes = pii.by_kind(spark.createDataFrame(SCORES + names, "family STRING, side STRING, node STRING, kind STRING, score DOUBLE"))
     texts = pii.pick(frame(spark, [t for t, _ in MENTIONS]), "doc_id", "text")
     found = pii.map_rows(texts, pii._SCHEMA, pii._mentioned)
-    rows = {r.k: sorted(r.found) for r in pii.extracted(texts, found, nodes, spark.createDataFrame([], "ending STRING")).collect()}
+    rows = {r.k: sorted(r.found) for r in pii.extracted(texts, found, nodes, spark.createDataFrame([], "node STRING")).collect()}
     for n, (text, want) in enumerate(MENTIONS, 1):
         assert [(text[x.a : x.b], x.kind) for x in rows.get(n, [])] == want
 

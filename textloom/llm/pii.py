@@ -72,7 +72,9 @@ _UNUSUAL = re.compile("[" + "".join(map(chr, _FULLWIDTH)) + "]")
 _LOCAL = r"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ._%+\-]*[A-Za-z0-9À-ÿ_])?"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto)\s?[\])}]\s?|\s(?:dot|DOT|punkt)\s)"
 _SIGN = r"(?:@|\s?[\[({]\s?(?:at|@|arobase|arroba)\s?[\])}]\s?|&#64;|%40|\s@\s|\sat\s(?=\S+(?:\s(?:dot|punkt)\s|\s?[\[({]\s?(?:dot|punkt|point|punto)|\.(?:test|example|invalid|com|org|net|de|fr|es|it|pt|ru|co|info|eu)\b)))"
-_AT = re.compile(_SIGN, re.I)
+#: What a text in lower case must hold for an at sign: a sign itself, or one of these.
+_SIGNS = ("@", "&#64;", "%40")
+_AT = re.compile(r"[\[({]\s?(?:at|arobase|arroba)\s?[\])}]|at\s(?=\S+(?:\s(?:dot|punkt)\s|\s?[\[({]\s?(?:dot|punkt|point|punto)|\.(?:test|example|invalid|com|org|net|de|fr|es|it|pt|ru|co|info|eu)\b))")
 _EMAIL = re.compile(
     rf"{_LOCAL}({_SIGN})"
     rf"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ-]*[A-Za-z0-9À-ÿ])?(?:{_DOT}[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ-]*[A-Za-z0-9À-ÿ])?)*{_DOT}[A-Za-z]{{2,}}",
@@ -83,7 +85,9 @@ _FIGURE = re.compile(
     r"(?<![\w.,@#+/-])(?:\+|\((?=\d{2,5}\)))?(?:[A-Z]{1,2} ?(?=\d))?\d(?:[\d]|[ ]?[-/.()][ ]?(?=[\d(])|\)? (?=[\d(])|\) ?[-.]? ?(?=\d)|(?<=\d) (?=[A-Z] \d)|(?<= )[A-Z] (?=\d))*\d(?: ?[A-Z](?![\w]))?(?![\w@]|[.,]\d|-\d)"
 )
 _DIGITS = re.compile(r"\d")
-_SPELLED = re.compile(r"(?i)\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun)\b[ -]?){7,}")
+_NUMERALS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun"
+_SPELLED = re.compile(rf"(?i)\b(?:(?:{_NUMERALS})\b[ -]?){{7,}}")
+_NUMERAL = frozenset(_NUMERALS.split("|"))
 _PHONE = re.compile(
     r"(?:\+?1[ .-]{0,3})?(?:\(\d{3}\)[ .-]{0,3}|\d{3}(?: ?[-.] ?| ?))\d{3}(?: ?[-.] ?| ?)\d{4}"
     r"|(?:\+44 ?(?:\(0\) ?)?|0)20 ?\d{4} ?\d{4}|(?:\+49|0049) ?(?:\(0\) ?)?30[ /-]?\d{4,6}[ -]?\d{2,4}|\(?030\)?[ /-]?\d{4,6}[ -]?\d{2,4}"
@@ -168,12 +172,13 @@ def figures(text: str):
 
 
 _NUMBER = re.compile(r"(?<![\w.,/-])\d{1,4}(?=[ ,A-Za-z/-])")
-_GERMAN = tuple("straße strasse str. weg gasse allee platz ring damm ufer steig pfad".split())
+_RUN = re.compile(r"\d+")
+_GERMAN = tuple("straße strasse str. str weg gasse allee platz ring damm ufer steig pfad".split())
 _ROMANCE = tuple("calle c/ avenida avda av. paseo plaza camino ronda carrera travesía callejón via viale piazza corso rua largo travessa praça ул. улица".split())
 _DETERMINER = frozenset("the this dem den der das die ein eine einen la le les el los las il lo os as uma un una".split())
 
 
-def addresses(text: str):
+def addresses(text: str, low: str):
     """(start, end, kind of street) of mentions with street and house number."""
     for m in _NUMBER.finditer(text):
         got = _ADDRESS_EN.match(text, m.start())
@@ -183,14 +188,24 @@ def addresses(text: str):
             got = _ADDRESS_FR.match(text, m.start())
             if got:
                 yield got.start(), got.end(), got.group(2).lower().rstrip(".")
-    low = text.lower()
-    for words, rx, group in ((_GERMAN, _ADDRESS_DE, 2), (_ROMANCE, _ADDRESS_ES, 1)):
-        if any(w in low for w in words):
-            for m in rx.finditer(text):
-                yield m.start(), m.end(), m.group(group).lower().rstrip(".")
-
-
-_SCHEMA = "what STRING, k BIGINT, h BIGINT, a INT, b INT, p3 STRING, p2 STRING, p1 STRING, inst STRING, phone BOOLEAN, ident BOOLEAN, small BOOLEAN, n BIGINT"
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if any(low[max(0, m.start() - 16) : m.start()].rstrip(" ,").removesuffix(".").removesuffix("nr").rstrip(" ,.").endswith(_GERMAN) for m in _RUN.finditer(text)):
+        for m in _ADDRESS_DE.finditer(text):
+            yield m.start(), m.end(), m.group(2).lower().rstrip(".")
+    last = set()
+    for w in _ROMANCE:
+        at = low.find(w)
+        while at >= 0:
+            m = _ADDRESS_ES.match(text, at)
+            if m and m.span() not in last:
+                last.add(m.span())
+                yield m.start(), m.end(), m.group(1).lower().rstrip(".")
+            at = low.find(w, at + 1)
+
+
+#: Rows of mentions, one for each node they ask, and of edges (family, pattern as node, instance, n).
+_SCHEMA = "family STRING, what STRING, k BIGINT, h BIGINT, a INT, b INT, phone BOOLEAN, ident BOOLEAN, small BOOLEAN, side STRING, node STRING, weight DOUBLE, instance STRING, n BIGINT"
 
 
 def text_hash(text: str) -> int:
@@ -200,35 +215,35 @@ def text_hash(text: str) -> int:
 
 
 def seen(text: str, edges: Counter):
-    """(what, start, end, patterns of three, two and one words, instance, phone, ident, small) for the mentions of a text;
-    their edges (family, pattern, instance) are added to ``edges``."""
+    """(family, what, start, end, phone, ident, small, nodes) for the mentions of a text; the nodes that speak for one are
+    (side, node, weight).  Their edges (family, pattern, instance) are added to ``edges``."""
 
-    def linked(family, patterns, inst):
-        for p in dict.fromkeys(patterns):
+    def patterns(family, at, inst, weights):
+        found = before(text, at, len(weights))
+        for p in dict.fromkeys(found):
             edges[family, p, inst] += 1
+        return [("pattern", p, w) for p, w in zip(found, weights, strict=True) if p] + [("instance", inst, 1.0)]
 
-    if _AT.search(text):
+    low = text.lower()
+    if any(x in text for x in _SIGNS) or _AT.search(low):
         for m in _EMAIL.finditer(text):
             if not _NOT_MAIL.search(m.group()) and not m.group().lower().endswith("localhost"):
-                two, one = before(text, m.start())
-                sign = m.group(1).strip().lower() if m.group(1).strip() == m.group(1) or m.group(1).strip() == "@" else f" {m.group(1).strip().lower()} "
-                linked("mail", (two, one), sign)
-                yield "mail", m.start(), m.end(), "", two, one, sign, False, False, False
+                sign = m.group(1).strip().lower()
+                if sign not in _SIGNS:
+                    sign = f" {sign} " if m.group(1)[0].isspace() else sign
+                yield "mail", "mail", m.start(), m.end(), False, False, False, patterns("mail", m.start(), sign, (1.0, 0.8))
     for a, b, inst, phone, ident in figures(text):
-        three, two, one = before(text, a, 3)
-        linked("figure", (three, two, one), inst)
-        yield "figure", a, b, three, two, one, inst, phone, ident, False
-    for m in _SPELLED.finditer(text):
-        three, two, one = before(text, m.start(), 3)
-        inst = f"words {len(re.findall('[^ -]+', m.group()))}"
-        linked("figure", (three, two, one), inst)
-        yield "figure", m.start(), m.end() - (m.group()[-1] in " -"), three, two, one, inst, True, False, False
-    for a, b, inst in addresses(text):
-        two, one = before(text, a)
-        linked("address", (two, one), inst)
+        yield "figure", "figure", a, b, phone, ident, False, patterns("figure", a, inst, (1.0, 1.0, 0.8))
+    if sum(map(_NUMERAL.__contains__, low.replace("-", " ").split())) >= 5:  # at least the inner ones stand free
+        for m in _SPELLED.finditer(text):
+            inst = f"words {len(re.findall('[^ -]+', m.group()))}"
+            yield "figure", "figure", m.start(), m.end() - (m.group()[-1] in " -"), True, False, False, patterns("figure", m.start(), inst, (1.0, 1.0, 0.8))
+    for a, b, inst in addresses(text, low):
+        nodes = patterns("address", a, inst, (1.0, 1.0))
         word = text[max(0, a - 12) : a].split()
         if not (word and text[a - 1].isspace() and word[-1].lower() in _DETERMINER):
-            yield "address", a, b, "", two, one, inst, False, False, not any(c.isupper() for c in text[a:b])
+            small = not any(c.isupper() for c in text[a:b])
+            yield "address", "address", a, b, False, False, small, nodes
     for m in _NAME.finditer(text):
         inst = m.group(1).lower()
         two, one = before(text, m.start())
@@ -238,7 +253,7 @@ def seen(text: str, edges: Counter):
         edges["ending", inst, _ending(m.group(2))] += 1
     for m in _INITIAL.finditer(text):
         two, one = before(text, m.start())
-        yield "initial", m.start(), m.end(), "", two, one, _ending(m.group(1)), False, False, False
+        yield "name", "initial", m.start(), m.end(), False, False, False, [("pattern", two, 1.0), ("pattern", one, 0.9), ("ending", _ending(m.group(1)), 1.0)]
 
 
 def _mentioned():
@@ -247,17 +262,18 @@ def _mentioned():
         for d, t in zip(docs, texts, strict=True):
             if t and t.strip():
                 h = text_hash(t)
-                for what, a, b, p3, p2, p1, inst, phone, ident, small in seen(plain(t), edges):
-                    yield what, d, h, a, b, p3, p2, p1, inst, phone, ident, small, 1
+                for family, what, a, b, phone, ident, small, nodes in seen(plain(t), edges):
+                    for side, node, weight in nodes:
+                        yield family, what, d, h, a, b, phone, ident, small, side, node, weight, None, None
         for (family, pattern, inst), n in edges.items():
-            yield f"edge {family}", None, None, None, None, None, None, pattern, inst, None, None, None, n
+            yield family, "edge", None, None, None, None, None, None, None, None, pattern, None, inst, n
 
     return work
 
 
 def graph(found: DataFrame) -> DataFrame:
     """``family, pattern, instance, n``: how often each pattern stands before each instance, over all documents."""
-    rows = found.where(F.col("what").startswith("edge ")).select(F.expr("substr(what, 6)").alias("family"), F.col("p1").alias("pattern"), F.col("inst").alias("instance"), "n")
+    rows = found.where(F.col("what") == "edge").select("family", F.col("node").alias("pattern"), "instance", "n")
     return rows.groupBy("family", "pattern", "instance").agg(F.sum("n").alias("n"))
 
 
@@ -265,7 +281,7 @@ def endings(edges: DataFrame, first: DataFrame, least: int = SUPPORT) -> DataFra
     """``ending``: surname endings that follow trusted first names at least half the time."""
     own = edges.where(F.col("family") == "ending").join(first.select(F.col("node").alias("pattern"), F.lit(1).alias("yes")), "pattern", "left")
     rows = own.groupBy(F.col("instance").alias("ending")).agg(F.sum(F.when(F.col("yes") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n"))
-    return rows.where((F.col("yes") >= least) & (F.col("yes") >= 0.5 * F.col("n"))).select("ending")
+    return rows.where((F.col("yes") >= least) & (F.col("yes") >= 0.5 * F.col("n"))).select(F.col("ending").alias("node"))
 
 
 #: What a family's mentions can be, besides nothing.
@@ -273,39 +289,38 @@ FAMILIES = {"figure": ("phone", "id_number"), "name": ("person",), "address": ("
 
 
 def _seeds(spark) -> DataFrame:
-    rows = []
+    rows = {}
     for family, kinds in FAMILIES.items():
+        rows |= {(family, "pattern", p): "none" for p in SEED_NONE}
         for kind in kinds:
-            rows += [(family, "pattern", p, kind) for p in SEED_PATTERNS[kind]] + [(family, "instance", s, kind) for s in SEED_SHAPES[kind]]
-        rows += [(family, "pattern", p, "none") for p in SEED_NONE]
-    return spark.createDataFrame(rows, "family STRING, side STRING, node STRING, kind STRING")
+            rows |= {(family, "pattern", p): kind for p in SEED_PATTERNS[kind]} | {(family, "instance", s): kind for s in SEED_SHAPES[kind]}
+    return spark.createDataFrame([(*k, v) for k, v in rows.items()], "family STRING, side STRING, node STRING, seed STRING")
 
 
-def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``family, side, node, kind, score, n``: iterated mean scores over the graph; seeds keep theirs.
+def score(edges: DataFrame, rounds: int = ROUNDS) -> dict[str, DataFrame]:
+    """For patterns and instances ``family, node, n`` and a score for each kind: iterated mean scores over the graph; seeds keep theirs.
 
-    Each round joins scores to edges by one side and averages them by the other; what it gives is cut from its lineage.
+    Each round is one join of the edges with the scores of their one side and one aggregation by the other; what it
+    gives is cut from its lineage.
     """
-    spark = edges.sparkSession
-    seeds = _seeds(spark)
-    held = F.broadcast(seeds)  # some dozens of rows
-    current = seeds.where((F.col("side") == "pattern") & (F.col("kind") != "none")).select("family", F.col("node").alias("pattern"), "kind", F.lit(1.0).alias("score"))
+    seeds = _seeds(edges.sparkSession)
     base = edges.where((F.col("pattern") != "") & (F.col("family") != "ending"))
-    totals = {side: base.groupBy("family", side).agg(F.sum("n").alias("all")) for side in ("instance", "pattern")}
+    for side in ("pattern", "instance"):  # some dozens of seeds
+        own = seeds.where(F.col("side") == side).select("family", F.col("node").alias(side), F.col("seed").alias(f"{side}_seed"))
+        base = base.join(F.broadcast(own), ["family", side], "left")
+    base = _cut(base)
+    pinned = lambda seed, kind, free: F.when(F.col(seed).isNotNull(), (F.col(seed) == kind).cast("double")).otherwise(free).alias(kind)
+    current = seeds.where(F.col("side") == "pattern").select("family", "node", *[(F.col("seed") == k).cast("double").alias(k) for k in KINDS])
     done = {}
     for k in range(2 * rounds):
         side, other = ("instance", "pattern") if k % 2 == 0 else ("pattern", "instance")
-        fixed = held.where(F.col("side") == side).select("family", F.col("node").alias(side), F.col("kind").alias("seed"))
-        mass = base.join(current, ["family", other]).groupBy("family", side, "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
+        rows = base.join(current.drop("n").withColumnRenamed("node", other), ["family", other], "left")
+        sums = rows.groupBy("family", F.col(side).alias("node")).agg(F.sum("n").alias("n"), F.first(f"{side}_seed").alias("seed"), *[F.sum(F.col("n") * F.coalesce(c, F.lit(0.0))).alias(c) for c in KINDS])
         # what no pattern or instance speaks for counts as half a mention of nothing
-        nxt = mass.join(totals[side], ["family", side]).select("family", side, "kind", (F.col("mass") / (F.col("all") + 0.5)).alias("score"))
-        free = nxt.join(fixed, ["family", side], "left_anti")
-        pinned = fixed.select("family", side, F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        current = _cut(free.unionByName(pinned).where((F.col("kind") != "none") & (F.col("score") > LEAST)))
-        done[side] = current.select("family", F.lit(side).alias("side"), F.col(side).alias("node"), "kind", "score")
-    counts = [totals[side].select("family", F.lit(side).alias("side"), F.col(side).alias("node"), F.col("all").alias("n")) for side in totals]
-    scores = done["instance"].unionByName(done["pattern"])
-    return scores.join(counts[0].unionByName(counts[1]), ["family", "side", "node"], "left")
+        mean = lambda c: F.when(F.col(c) / (F.col("n") + 0.5) > LEAST, F.col(c) / (F.col("n") + 0.5)).otherwise(0.0)
+        current = _cut(sums.select("family", "node", "n", *[pinned("seed", c, mean(c)) for c in KINDS]).where(F.greatest(*KINDS) > 0))
+        done[side] = current
+    return done
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -318,13 +333,14 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def trusted(edges: DataFrame) -> DataFrame:
-    """``family, side, node`` with a score per kind: the nodes that may speak, and the seeds.
+    """``family, side, node`` with a score for each kind: the nodes that may speak, seed patterns, and surname endings.
 
-    Seeds of nothing have the kind ``none``.
+    Seed patterns of nothing have a score of ``none``.
     """
-    learnt = score(edges).where((F.col("score") >= LEAST) & (F.coalesce("n", F.lit(0)) >= SUPPORT)).select("family", "side", "node", "kind", "score")
-    seeds = _seeds(edges.sparkSession).where(F.col("side") == "pattern").select("family", "side", "node", "kind", F.lit(1.0).alias("score"))
-    return by_kind(learnt.unionByName(seeds))
+    parts = [df.where(F.col("n") >= SUPPORT).select("family", F.lit(side).alias("side"), "node", *KINDS, F.lit(0.0).alias("none")) for side, df in score(edges).items()]
+    seeds = _seeds(edges.sparkSession).where(F.col("side") == "pattern").select("family", "side", "node", *[(F.col("seed") == k).cast("double").alias(k) for k in (*KINDS, "none")])
+    nodes = parts[0].unionByName(parts[1]).unionByName(seeds)
+    return _cut(nodes.groupBy("family", "side", "node").agg(*[F.max(k).alias(k) for k in (*KINDS, "none")]))
 
 
 def by_kind(scores: DataFrame) -> DataFrame:
@@ -332,39 +348,31 @@ def by_kind(scores: DataFrame) -> DataFrame:
     return scores.groupBy("family", "side", "node").agg(*[F.max(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in (*KINDS, "none")])
 
 
-def _spoken(rows: DataFrame, nodes: DataFrame, family: str, *columns: str) -> DataFrame:
-    """The rows with the scores of the nodes named in the columns, in structs ``s_..``; null where a node doesn't speak."""
-    for c in columns:
-        side = nodes.where((F.col("family") == family) & (F.col("side") == ("instance" if c == "inst" else "pattern")))
-        rows = rows.join(side.select(F.col("node").alias(c), F.struct(*KINDS, "none").alias(f"s_{c}")), c, "left")
-    return rows
-
-
-def _best(kind: str, weights: dict[str, float]) -> Column:
-    return F.greatest(*[F.coalesce(F.col(f"s_{c}.{kind}") * w, F.lit(0.0)) for c, w in weights.items()], F.lit(0.0))
-
-
 def judged(found: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
-    """``k, h, a, b, kind`` of the mentions that their patterns and instances speak for.
+    """``k, h, a, b, kind`` of the mentions that their patterns and instances speak for: one join and one aggregation.
 
     A figure is of the kind that scores best, unless a pattern of nothing scores better; where no pattern is known its
-    build alone must say more.  Addresses written small and initials need their pattern.
+    build alone must say more.  Addresses written small need their pattern, initials theirs or a known surname ending.
     """
-    place = ["k", "h", "a", "b"]
-    f = _spoken(found.where(F.col("what") == "figure"), nodes, "figure", "p3", "p2", "p1", "inst")
-    weights = {"p3": 1.0, "p2": 1.0, "p1": 0.8}
-    known = F.coalesce("s_p3", "s_p2", "s_p1").isNotNull()
-    own = {c: _best(c, {"inst": 1.0}) for c in ("phone", "id_number")}
-    total = {c: F.when(known, 0.6 * _best(c, weights) + 0.4 * own[c]).otherwise(0.75 * own[c]) for c in own}
-    f = f.withColumns({"_phone": F.when(F.col("phone"), total["phone"]).otherwise(-1.0), "_id": F.when(F.col("ident"), total["id_number"]).otherwise(-1.0), "_none": 0.6 * _best("none", weights)})
-    f = f.where((F.greatest("_phone", "_id") >= TRUST["figure"]) & (F.greatest("_phone", "_id") > F.col("_none"))).select(*place, F.when(F.col("_phone") >= F.col("_id"), "phone").otherwise("id_number").alias("kind"))
-    a = _spoken(found.where(F.col("what") == "address"), nodes, "address", "p2", "p1", "inst")
-    a = a.where(F.when(F.col("small"), _best("address", {"p2": 1.0, "p1": 1.0})).otherwise(_best("address", {"p2": 1.0, "p1": 1.0, "inst": 1.0})) >= TRUST["address"]).select(*place, F.lit("address").alias("kind"))
-    m = _spoken(found.where(F.col("what") == "mail"), nodes, "mail", "p2", "p1", "inst")
-    m = m.where(_best("email", {"p2": 1.0, "p1": 0.8, "inst": 1.0}) >= TRUST["mail"]).select(*place, F.lit("email").alias("kind"))
-    i = _spoken(found.where(F.col("what") == "initial"), nodes, "name", "p2", "p1").join(ends.withColumnRenamed("ending", "inst").withColumn("known", F.lit(True)), "inst", "left")
-    i = i.where((_best("person", {"p2": 1.0, "p1": 0.9}) >= 0.5) | F.col("known")).select(*place, F.lit("person").alias("kind"))
-    return f.unionByName(a).unionByName(m).unionByName(i)
+    place = ["what", "k", "h", "a", "b", "phone", "ident", "small"]
+    kinds = [*KINDS, "none"]
+    ended = ends.select(F.lit("name").alias("family"), F.lit("ending").alias("side"), "node", *[F.lit(float(k == "person")).alias(k) for k in kinds])
+    said = nodes.unionByName(ended).select("family", "side", "node", F.struct(*kinds).alias("s"))
+    asked = found.where(F.col("a").isNotNull()).select("family", *place, "side", "node", "weight").join(said, ["family", "side", "node"], "left")
+    of = lambda side, k: F.coalesce(F.max(F.when(F.col("side") == side, F.col("weight") * F.col(f"s.{k}"))), F.lit(0.0))
+    used = {("pattern", k) for k in kinds} | {("instance", k) for k in ("phone", "id_number", "address", "email")} | {("ending", "person")}
+    rows = asked.groupBy(*place).agg(F.max(F.when(F.col("side") == "pattern", F.col("s").isNotNull())).alias("known"), *[of(side, k).alias(f"{side}_{k}") for side, k in sorted(used)])
+    at = lambda side, k: F.col(f"{side}_{k}")
+    total = lambda k: F.when(F.col("known"), 0.6 * at("pattern", k) + 0.4 * at("instance", k)).otherwise(0.75 * at("instance", k))
+    rows = rows.withColumns({"_phone": F.when(F.col("phone"), total("phone")).otherwise(-1.0), "_id": F.when(F.col("ident"), total("id_number")).otherwise(-1.0)})
+    best = F.greatest("_phone", "_id")
+    kind = (
+        F.when((F.col("what") == "figure") & (best >= TRUST["figure"]) & (best > 0.6 * at("pattern", "none")), F.when(F.col("_phone") >= F.col("_id"), "phone").otherwise("id_number"))
+        .when((F.col("what") == "address") & (F.greatest(at("pattern", "address"), F.when(F.col("small"), 0.0).otherwise(at("instance", "address"))) >= TRUST["address"]), "address")
+        .when((F.col("what") == "mail") & (F.greatest(at("pattern", "email"), at("instance", "email")) >= TRUST["mail"]), "email")
+        .when((F.col("what") == "initial") & ((at("pattern", "person") >= 0.5) | (at("ending", "person") > 0)), "person")
+    )
+    return rows.select("k", "h", "a", "b", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def first_names(nodes: DataFrame) -> DataFrame:
@@ -477,7 +485,7 @@ def spans(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     texts = pick(documents, doc, text)
     found = map_rows(texts, _SCHEMA, _mentioned).persist(StorageLevel.MEMORY_AND_DISK)
     edges = _cut(graph(found))
-    nodes = _cut(trusted(edges))
+    nodes = trusted(edges)
     first = first_names(nodes)
     return extracted(texts, found, nodes, endings(edges, first))
 
