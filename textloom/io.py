@@ -1,9 +1,28 @@
-"""Reading the tables by name."""
+"""Reading the tables by name; tables kept by what made them."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def materialised(spark: SparkSession, folder: str, name: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` makes, written once for each name and configuration and read from then on.
+
+    The folder must be shared by all executors.  A table whose writing was broken off has no mark of success and is
+    written again.
+    """
+    from .sources import storage
+
+    path = f"{folder}/{name}-{hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
+    system, inner = storage.opened(path)
+    if system.get_file_info(f"{inner}/_SUCCESS").type.name != "File":
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

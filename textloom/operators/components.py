@@ -32,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
         nxt = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("y").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        current = checkpointed(nxt)
+        before, current = current, checkpointed(nxt)
+        before.unpersist()
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
         if tuple(now) == state:
             break

@@ -22,19 +22,18 @@ def frequencies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text, kept_lines``: every document without the lines that occur more than once, in any document.
 
-    Counting by the line's hash also brings the single survivor along, so the lines are shuffled once by hash and
-    the survivors once by document; counts are combined before the shuffle.  Documents left empty stay.
+    Lines travel as hash, key and position only; counting by hash brings the single survivor's place along.  The places
+    go back to the documents, whose own arrays of lines are cut there.  Counts are combined before the shuffle.
+    Documents left empty stay.
     """
-    single = (
-        unfolded(df, key, text)
-        .groupBy(F.md5("line").alias("h"))
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.col(key), F.col("pos"), F.col("line"))).alias("one"))
-        .where("n = 1")
-        .select(f"one.{key}", "one.pos", "one.line")
-    )
-    rebuilt = single.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    text_of = F.array_join(F.transform("ls", lambda x: x["line"]), "")
-    return df.select(key).join(rebuilt, key, "left").select(key, F.coalesce(text_of, F.lit("")).alias(text), F.coalesce(F.size("ls"), F.lit(0)).cast("bigint").alias("kept_lines"))
+    one = F.struct(F.col(key), F.col("pos"))
+    single = unfolded(df, key, text).groupBy(F.md5("line").alias("h")).agg(F.count("*").alias("n"), F.min(one).alias("one")).where("n = 1").select(f"one.{key}", "one.pos")
+    kept = single.groupBy(key).agg(F.collect_set("pos").alias("_kept"))
+    parts = F.split(F.col(text), "\n")
+    ended = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    here = F.transform(F.sort_array("_kept"), lambda i: F.element_at("_lines", i + 1))
+    rows = df.select(key, F.col(text)).join(kept, key, "left").withColumn("_lines", ended)
+    return rows.select(key, F.coalesce(F.array_join(here, ""), F.lit("")).alias(text), F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint").alias("kept_lines"))
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,12 +1,20 @@
 """Near-duplicate documents: MinHash signatures, banding, exact Jaccard, connected classes.
 
-Documents with the same set of shingles form one class beforehand and are
-represented by their smallest key, so that copies, however many, never meet in
-a bucket; links are made between different shingle sets only.
+Every text is normalised and shingled once; the table of shingle sets and bands
+is cut from its lineage and everything else reads it.  Documents with the same
+set of shingles form one class beforehand and are represented by their smallest
+key, so that copies, however many, never meet in a bucket; links are made
+between different shingle sets only.
+
+A shingle is 62 bits: two 31-bit linear combinations, modulo a prime, of the
+hashes of its words.  Buckets of many different sets are cut into blocks, and
+each pair of blocks is joined in a task of its own, so all pairs are verified
+and no task sees more than two blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,11 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, word_ngrams
+from ..functions.text import normalized
 from .components import checkpointed, components
 
 PRIME = 2147483647
 HASHES, BANDS, NGRAM, THRESHOLD = 100, 20, 5, 0.8
+#: Members of a block of a bucket.
+BLOCK = 2000
 
 
 @lru_cache(maxsize=8)
@@ -34,72 +44,140 @@ def coefficients(k: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def shingle_hashes(ws: Column, n: int = NGRAM) -> Column:
-    """Sorted distinct 31-bit hashes of the word n-grams of an array of words."""
-    return F.sort_array(F.array_distinct(F.transform(word_ngrams(ws, n), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % PRIME)))
+def ngram_factors(n: int) -> list[tuple[int, int]]:
+    """The factors of an n-gram's words in its two hashes."""
+    return list(coefficients(64)[64 - n :])
 
 
-def signature(k: int = HASHES):
-    """Arrow function from shingle hashes to k minima; zeros for the empty set."""
+class _Words(dict):
+    """Word to the two 31-bit halves of its hash; remembered up to a number of words."""
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()
+        at = (int.from_bytes(h[:4], "big") % PRIME) << 32 | int.from_bytes(h[4:8], "big") % PRIME
+        if len(self) < 500_000:
+            self[word] = at
+        return at
+
+
+def _sets(n: int):
+    """From normalised texts, words separated by single spaces, to sorted distinct shingles."""
+    words, factors = _Words(), ngram_factors(n)
+
+    def one(text: str | None) -> np.ndarray:
+        ws = text.split(" ") if text else []
+        if len(ws) < n:
+            return np.zeros(0, np.int64)
+        packed = np.array(list(map(words.__getitem__, ws)), np.int64)
+        halves = packed >> 32, packed & 0xFFFFFFFF
+        m = len(ws) - n + 1
+        out = [sum(half[k : k + m] * factors[k][side] % PRIME for k in range(n)) % PRIME for side, half in enumerate(halves)]
+        return np.unique(out[0] << 31 | out[1])
+
+    return one
+
+
+def minima(k: int):
+    """From a shingle set to the k minima of its signature; zeros for the empty set."""
     ab = np.array(coefficients(k), np.int64)
+    a, b = ab[:, :1], ab[:, 1:]
+
+    def one(shingles) -> np.ndarray:
+        if shingles is None or len(shingles) == 0:
+            return np.zeros(k, np.int64)
+        low = np.full(k, PRIME, np.int64)
+        high = np.asarray(shingles, np.int64) >> 31
+        for part in np.array_split(high, max(1, len(high) // 4096)):
+            low = np.minimum(low, ((a * part[None] + b) % PRIME).min(1))
+        return low
+
+    return one
+
+
+def signature(k: int = HASHES):
+    """Arrow function from shingles to the k minima."""
 
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a, b = ab[:, :1], ab[:, 1:]
+        one = minima(k)
         for batch in batches:
-            out = []
-            for hashes in batch:
-                if hashes is None or len(hashes) == 0:
-                    out.append(np.zeros(k, np.int64))
-                    continue
-                low = np.full(k, PRIME, np.int64)
-                for part in np.array_split(np.asarray(hashes, np.int64), max(1, len(hashes) // 4096)):
-                    low = np.minimum(low, ((a * part[None] + b) % PRIME).min(1))
-                out.append(low)
-            yield pd.Series(out)
+            yield pd.Series([one(x) for x in batch])
 
     return run
 
 
 def shingled(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
     """``key, shingles`` of the normalised texts; a null text has none."""
-    norm = df.select(F.col(key), normalized(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    ws = norm.select(key, F.filter(F.split("_t", " "), lambda w: w != "").alias("_w"))
-    return ws.select(key, shingle_hashes(F.col("_w"), n).alias("shingles"))
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _sets(n)
+        for batch in batches:
+            yield pd.Series([one(x) for x in batch])
+
+    return df.select(F.col(key), run(normalized(F.coalesce(F.col(text), F.lit("")))).alias("shingles"))
 
 
-def representatives(sh: DataFrame, key: str) -> DataFrame:
+def prepared(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = HASHES, b: int = BANDS, n: int = NGRAM) -> DataFrame:
+    """``key, shingles, size, set_hash, buckets``: all that later steps read, in one pass over the texts."""
+    if k % b:
+        raise ValueError("the number of hashes must be a multiple of the number of bands")
+
+    @F.pandas_udf("shingles array<bigint>, buckets array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one, low = _sets(n), minima(k)
+        for batch in batches:
+            sets = [one(x) for x in batch]
+            yield pd.DataFrame({"shingles": sets, "buckets": [_buckets(low(x), b) for x in sets]})
+
+    got = run(normalized(F.coalesce(F.col(text), F.lit("")))).alias("got")
+    rows = df.select(F.col(key), got).select(key, "got.*")
+    return rows.select(key, "shingles", F.size("shingles").alias("size"), F.xxhash64("shingles").alias("set_hash"), "buckets")
+
+
+def _buckets(sig: np.ndarray, b: int) -> np.ndarray:
+    """A 64-bit hash per band of the band's number and minima."""
+    out = (np.arange(1, b + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    for column in sig.reshape(b, -1).T.astype(np.uint64):
+        out = (out ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def representatives(sets: DataFrame, key: str) -> DataFrame:
     """``key, rep``: the smallest key of the documents with the same shingle set.
 
-    Grouping is by a hash of the set; the minimum is combined before the shuffle.
+    The minimum is combined before the shuffle; the join back has one row per set on its other side, so a hot set may
+    be split.
     """
-    h = F.md5(F.array_join(F.col("shingles").cast("array<string>"), ","))
-    keyed = sh.select(key, h.alias("h"))
-    return keyed.join(keyed.groupBy("h").agg(F.min(key).alias("rep")), "h").select(key, "rep")
+    keyed = sets.select(key, "set_hash", "size")
+    return keyed.join(keyed.groupBy("set_hash", "size").agg(F.min(key).alias("rep")), ["set_hash", "size"]).select(key, "rep")
 
 
-def bands(sh: DataFrame, key: str, k: int = HASHES, b: int = BANDS) -> DataFrame:
-    """``key, band, bucket`` of every signature."""
-    if k % b:
-        raise ValueError("the number of hashes must be a multiple of the number of bands")
-    r = k // b
-    sig = sh.select(key, signature(k)("shingles").alias("sig"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.md5(F.array_join(F.slice("sig", i * r + 1, r).cast("array<string>"), ",")))
-    return sig.select(key, F.posexplode(cut).alias("band", "bucket"))
+def _blocked(only: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``id_a < id_b`` of the sets that share a bucket and whose sizes allow the threshold, once for each bucket.
+
+    A bucket of m members has ceil(m / BLOCK) blocks; a member goes to the cells of its block with every other one.
+    """
+    rows = only.select(F.col(key).alias("id"), "size", F.explode("buckets").alias("bucket"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    rows = rows.join(many, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    left = rows.select("bucket", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = rows.select("bucket", F.col("id").alias("y"), F.col("size").alias("sy"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    once = F.when(F.col("i") == F.col("j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    near = F.least("sx", "sy") >= threshold * F.greatest("sx", "sy")
+    return left.join(right, ["bucket", "i", "j"]).where(once & near).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def candidates(sh: DataFrame, key: str, k: int = HASHES, b: int = BANDS) -> DataFrame:
-    """``id_a < id_b``: representatives that share a bucket, once each."""
-    rows = bands(sh, key, k, b)
-    left = rows.select(F.col(key).alias("id_a"), "band", "bucket")
-    right = rows.select(F.col(key).alias("id_b"), "band", "bucket")
-    return left.join(right, ["band", "bucket"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+def candidates(only: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
+    """``id_a < id_b``: representatives that share a bucket, once each; with a threshold only those whose sizes allow it."""
+    return _blocked(only, key, threshold).distinct()
 
 
-def verified(pairs: DataFrame, sh: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """``id_a, id_b, jaccard`` of pairs at or above the threshold; two empty sets have 1."""
-    a = sh.select(F.col(key).alias("id_a"), F.col("shingles").alias("sa"))
-    b = sh.select(F.col(key).alias("id_b"), F.col("shingles").alias("sb"))
+    a = sets.select(F.col(key).alias("id_a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col(key).alias("id_b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
     j = F.when(union == 0, F.lit(1.0)).otherwise(both / union)
@@ -108,10 +186,10 @@ def verified(pairs: DataFrame, sh: DataFrame, key: str, threshold: float = THRES
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = HASHES, b: int = BANDS, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(verified pairs of representatives, membership ``key, rep``)."""
-    sh = shingled(df, key, text, n)
-    rep = representatives(sh, key)
-    only = sh.join(rep.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
-    return verified(candidates(only, key, k, b), only, key, threshold), rep
+    sets = checkpointed(prepared(df, key, text, k, b, n))
+    rep = representatives(sets, key)
+    only = sets.join(rep.where(F.col(key) == F.col("rep")).select(key).distinct(), key, "left_semi").dropDuplicates([key])
+    return verified(candidates(only, key, threshold), only, key, threshold), rep
 
 
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
@@ -125,7 +203,20 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", **parameter
     return out.select(key, F.coalesce("component", "rep").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """The documents kept: the smallest key of every class, with all their columns."""
-    kept = clusters(df, key, text, **parameters).where(F.col(key) == F.col("cluster_id")).select(key)
+def cluster_sizes(members: DataFrame, key: str = "doc_id", seed: int | None = None) -> DataFrame:
+    """``cluster_id, n, kept``: the documents of each class and the one that stays, the smallest key or, with a seed, the
+    one whose hash with the seed is smallest; combined before the shuffle."""
+    return members.groupBy("cluster_id").agg(F.count("*").alias("n"), _chosen(key, seed).alias("kept"))
+
+
+def _chosen(key: str, seed: int | None) -> Column:
+    if seed is None:
+        return F.min(key)
+    order = F.struct(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), F.col(key))
+    return F.min_by(key, order)
+
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int | None = None, **parameters) -> DataFrame:
+    """The documents kept, with all their columns: of every class the smallest key, or a seeded choice."""
+    kept = cluster_sizes(clusters(df, key, text, **parameters), key, seed).select(F.col("kept").alias(key))
     return df.join(kept, key, "left_semi")
