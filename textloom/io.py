@@ -9,8 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: Input of a task below which a scan's partitions may be too few for its cores.
+PER_TASK = 16 << 20
+
+
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table; with columns only those, spread."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs, whose few row groups would keep most cores idle, in as many partitions as there are cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * PER_TASK else df
 
 
 def materialised(spark: SparkSession, folder: str, name: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:

@@ -26,14 +26,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     go back to the documents, whose own arrays of lines are cut there.  Counts are combined before the shuffle.
     Documents left empty stay.
     """
-    one = F.struct(F.col(key), F.col("pos"))
-    single = unfolded(df, key, text).groupBy(F.md5("line").alias("h")).agg(F.count("*").alias("n"), F.min(one).alias("one")).where("n = 1").select(f"one.{key}", "one.pos")
-    kept = single.groupBy(key).agg(F.collect_set("pos").alias("_kept"))
-    parts = F.split(F.col(text), "\n")
-    ended = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    here = F.transform(F.sort_array("_kept"), lambda i: F.element_at("_lines", i + 1))
-    rows = df.select(key, F.col(text)).join(kept, key, "left").withColumn("_lines", ended)
-    return rows.select(key, F.coalesce(F.array_join(here, ""), F.lit("")).alias(text), F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint").alias("kept_lines"))
+    single = unfolded(df, key, text).groupBy(F.md5("line").alias("h")).agg(F.count("*").alias("n"), F.min(key).alias(key), F.min("pos").alias("pos")).where("n = 1")
+    kept = single.groupBy(key).agg(F.sort_array(F.collect_set("pos")).alias("_kept"))
+    # split below the join: within the lambda it would be evaluated for each line
+    rows = df.select(key, F.split(F.col(text), "\n").alias("_lines")).join(kept, key, "left")
+    here = F.array_join(F.transform("_kept", lambda i: F.element_at("_lines", i + 1)), "\n")
+    end = F.when(F.element_at("_kept", -1) < F.size("_lines") - 1, "\n").otherwise("")  # all but a text's last line have one
+    return rows.select(key, F.coalesce(F.concat(here, end), F.lit("")).alias(text), F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint").alias("kept_lines"))
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

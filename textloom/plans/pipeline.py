@@ -84,20 +84,21 @@ def decided(documents: DataFrame, models: dict[str, Model], config: Config = Con
 
     Only documents that the rules keep are scored.
     """
-    ruled = quality_rules.rules(documents.select("doc_id", "text", *keep))
+    ruled = quality_rules.rules(documents.select("doc_id", "text", *keep)).drop("keep")
     names = [n for n in CLASSES if n != "quality" or config.use_quality]
-    scored = naive_bayes.scorer(documents.sparkSession, {n: models[n] for n in names})(F.lower(clean(F.col("text"))))
-    likely = F.when(F.col("_v.quality_label") == "wiki", F.col("_v.quality_score")).otherwise(1 - F.col("_v.quality_score")) if config.use_quality else None
+    # what the rules drop reaches the scorer as null; a filter would repeat the rules' expressions once for each mention
+    passed = F.when(F.col("drop_reason").isNull(), F.lower(clean(F.col("text"))))
+    rows = ruled.withColumn("_v", naive_bayes.scorer(documents.sparkSession, {n: models[n] for n in names})(passed))
     stage = (
-        F.when((F.col("_v.language_label") != config.language) | (F.col("_v.language_score") < config.min_language), "language")
+        F.when(F.col("drop_reason").isNotNull(), "rules")
+        .when((F.col("_v.language_label") != config.language) | (F.col("_v.language_score") < config.min_language), "language")
         .when((F.col("_v.nsfw_label") == "nsfw") & (F.col("_v.nsfw_score") > config.max_nsfw), "nsfw")
         .when((F.col("_v.toxic_label") == "toxic") & (F.col("_v.toxic_score") > config.max_toxic), "toxic")
     )
     if config.use_quality:
-        stage = stage.when(~((F.col("_v.quality_label").isNotNull()) & (likely >= config.min_quality)), "quality")
-    # the two sides of one scan: a struct of nulls would still be computed for dropped rows
-    passed = ruled.where("drop_reason is null").withColumn("_v", scored).select("doc_id", "text", *keep, stage.otherwise("kept").alias("stage"))
-    return passed.unionByName(ruled.where("drop_reason is not null").select("doc_id", "text", *keep, F.lit("rules").alias("stage")))
+        likely = F.when(F.col("_v.quality_label") == "wiki", F.col("_v.quality_score")).otherwise(1 - F.col("_v.quality_score"))
+        stage = stage.when(likely < config.min_quality, "quality")
+    return rows.select("doc_id", "text", *keep, stage.otherwise("kept").alias("stage"))
 
 
 def filter_documents(documents: DataFrame, models: dict[str, Model], config: Config = Config()) -> DataFrame:

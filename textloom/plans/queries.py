@@ -20,7 +20,7 @@ from .sql import SQL as SQL
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return table(spark, d, "documents", "doc_id", "text")
 
 
 def doc_word_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -133,35 +133,35 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.training_rows(table(spark, d, "documents"), table(spark, d, "labels"), seed=42).select("doc_id", "label", F.md5("text").alias("text_md5"))
+    return pipeline.training_rows(_docs(spark, d), table(spark, d, "labels"), seed=42).select("doc_id", "label", F.md5("text").alias("text_md5"))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(html_to_text_sql(F.col("html"))).alias("text_md5"))
+    return table(spark, d, "pages", "page_id", "html").select("page_id", F.md5(html_to_text_sql(F.col("html"))).alias("text_md5"))
 
 
 def html_text_parsed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html_to_text("html").alias("text"))
+    return table(spark, d, "pages", "page_id", "html").select("page_id", html_to_text("html").alias("text"))
 
 
 def _models(spark: SparkSession, d: str) -> dict:
-    return pipeline.fit_models(*[table(spark, d, t) for t in ("documents", "labels", "lang_samples")])
+    return pipeline.fit_models(_docs(spark, d), table(spark, d, "labels"), table(spark, d, "lang_samples"))
 
 
 def filter_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.filter_documents(table(spark, d, "documents"), _models(spark, d)).select("doc_id", F.md5("text").alias("masked_md5"))
+    return pipeline.filter_documents(_docs(spark, d), _models(spark, d)).select("doc_id", F.md5("text").alias("masked_md5"))
 
 
 def filter_stats(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.filter_stats(table(spark, d, "documents"), _models(spark, d))
+    return pipeline.filter_stats(_docs(spark, d), _models(spark, d))
 
 
 def filter_stats_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.filter_stats(table(spark, d, "documents"), _models(spark, d), by="source")
+    return pipeline.filter_stats(table(spark, d, "documents", "doc_id", "text", "source"), _models(spark, d), by="source")
 
 
 def kept_text_share(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    docs = table(spark, d, "documents", "text", "lang").select("text", F.coalesce("lang", F.lit("")).alias("lang"))
     size = F.char_length("text")
     agg = quality_rules.rules(docs).groupBy("lang").agg(F.sum(F.when(F.col("keep"), size).otherwise(0)).alias("kept_chars"), F.sum(size).alias("total_chars"))
     return agg.withColumn("share", F.round(F.col("kept_chars") / F.greatest(F.col("total_chars"), F.lit(1)), 6))
