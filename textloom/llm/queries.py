@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import abuse, boilerplate, language, leakage, mixture, mojibake, pii, repetition, text_form
+from .sql import SQL as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,11 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_form.text_forms(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"), _samples(spark, sf_dir))
 
 
+def p4_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text_form.voted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"), _samples(spark, sf_dir))
+    return rows.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in text_form.STATS[1:]])
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> language.Model:
     return language.load(_table(spark, sf_dir, "lang_samples"), _table(spark, sf_dir, "common_words"))
 
@@ -114,6 +120,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_share_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps its cap and, of those with documents, comes within two points of its share."""
+    rows = mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1].where(F.col("source").isNotNull())
+    usable = (F.col("tokens") > 0) & (F.col("target_share") > 0)
+    wanted = F.when(usable, F.col("target_share")).otherwise(0.0)
+    rows = rows.withColumn("wanted", wanted / F.sum(wanted).over(Window.partitionBy()))  # one row per source
+    return rows.select("source", "documents", "max_repeats", (F.col("most_copies") <= F.coalesce("max_repeats", F.lit(0))).alias("cap_kept"), (F.abs(F.col("actual_share") - F.col("wanted")) < 0.02).alias("share_kept"))
+
+
+def p9_repeated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeated_shares(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"), _samples(spark, sf_dir))
 
@@ -122,5 +141,4 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_repaired, p3_found, p3_scores, p3_spans, p3_rates, p4_found, p4_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p8_mixture, p8_shares, p9_found, p9_repetition)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_repaired, p3_found, p3_scores, p3_spans, p3_rates, p4_found, p4_statistics, p4_text_statistics, p5_found, p5_segments, p6_found, p6_main_text, p6_html_content, p7_found, p7_spans, p7_decontaminated, p8_mixture, p8_shares, p8_share_check, p9_repeated_share, p9_found, p9_repetition)}
