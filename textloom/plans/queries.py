@@ -115,7 +115,7 @@ def english_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_variants(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(pipeline.remapped(F.col("lang")).alias("label")).agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").groupBy(F.coalesce(pipeline.remapped(F.col("lang")), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
 
 
 def _judged(column: str, empty=("unknown", 0.0)):

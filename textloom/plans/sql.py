@@ -210,7 +210,7 @@ SQL = {
     "filter_stats_by_source": f"""WITH {_DECIDED}, s AS (SELECT source, stage, count(*) AS n FROM decided JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1, 2)
         SELECT source, stage, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY source), 4) AS pct FROM s""",
     "english_documents": f"WITH {_TALLY},{_LANG} SELECT doc_id FROM language_pred WHERE label = 'en' AND score >= 0.7",
-    "label_variants": f"SELECT {_REMAPPED} AS label, count(*) AS n FROM documents GROUP BY 1",
+    "label_variants": f"SELECT coalesce({_REMAPPED}, '') AS label, count(*) AS n FROM documents GROUP BY 1",
     "training_rows": f"""WITH {_STATS}, t AS (SELECT doc_id, CASE WHEN v = 1 THEN 'wiki' ELSE 'cc' END AS label FROM (SELECT doc_id, max(quality) AS v FROM labels GROUP BY 1) WHERE v IS NOT NULL),
         c AS (SELECT doc_id, label, regexp_replace(replace(r.text, chr(10), ' '), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text FROM ruled r JOIN t USING (doc_id) WHERE label <> 'wiki' OR drop_reason IS NULL)
         SELECT doc_id, label, md5(text) AS text_md5 FROM c WHERE text <> ''""",
