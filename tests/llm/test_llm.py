@@ -422,3 +422,19 @@ def test_mixture(spark):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert mixed.orderBy("doc_id", "copy").collect() == mixture.mixture(docs.repartition(7), targets)[0].orderBy("doc_id", "copy").collect()
     assert mixture.mixture(docs.limit(0), targets)[0].count() == 0
+
+
+def test_fitted_models_are_saved_and_loaded(spark, tmp_path):
+    texts = [f"the mill of the town and the {'worthless moron nobody wants you ' * (i % 3 == 0)} river." for i in range(90)]
+    field = abuse.fit(texts, np.array([[int(i % 3 == 0), 0] for i in range(90)]))
+    field.save(spark, str(tmp_path / "field"))
+    again = abuse.Field.load(spark, str(tmp_path / "field"))
+    assert (again.tag(texts)[1] == field.tag(texts)[1]).all()
+    pages = [(["Home", "Shop", f"A long line about the mill {i} and the river, and so on.", "Imprint"], [False, False, True, False]) for i in range(20)]
+    line = boilerplate.fit(pages, border=1.5)
+    line.save(spark, str(tmp_path / "line"))
+    same = boilerplate.LineModel.load(spark, str(tmp_path / "line"))
+    payloads = ["\n".join(p) for p, _ in pages]
+    assert boilerplate.main_lines(same, payloads) == boilerplate.main_lines(line, payloads) and same.border == 1.5
+    with pytest.raises(Exception, match="(?i)path"):
+        abuse.Field.load(spark, str(tmp_path / "none"))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import models
 from .batches import map_rows, pick
 
 STATES = ("none", "toxic", "nsfw")
@@ -225,6 +226,13 @@ class Field:
         self.vocab = Vocab()
         self.rows = np.zeros((0, len(STATES)), np.float32)
 
+    def save(self, spark, path: str) -> None:
+        models.save(spark, path, weights=self.weights, trans=self.trans)
+
+    @staticmethod
+    def load(spark, path: str) -> Field:
+        return Field(**models.load(spark, path))
+
     def __getstate__(self):
         return self.weights, self.trans
 
