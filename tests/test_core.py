@@ -21,7 +21,7 @@ from textloom.operators import lines as line_ops
 from textloom.operators import minhash, naive_bayes, quality_rules
 from textloom.io import materialised
 from textloom.operators.components import components
-from textloom.plans import pipeline
+from textloom.plans import folders, pipeline
 from textloom.sinks import tokens
 from textloom.sources import files, storage, warc
 from textloom.streaming.rowlevel import first_seen, ruled_and_masked
@@ -311,6 +311,41 @@ def test_archives_are_written_and_read(spark, tmp_path):
     assert got[0].date == datetime(2024, 1, 2, 3, 4, 5)
 
 
+def contents(folder):
+    return {p.name: p.read_text() for p in folder.iterdir() if p.is_file() and not p.name.startswith((".", "_", "manifest"))}
+
+
+def test_folders_without_repeated_lines(spark, tmp_path):
+    given = {"a.txt": "menu\nsame\n", "b.txt": "menu\nsame\n", "c.txt": "- home\r\n- back\r\nown text\r\n", "d.txt": "- home\nmine\nlast", "e.txt": "alone\n\nhere\n"}
+    (tmp_path / "in").mkdir()
+    for n, t in given.items():
+        (tmp_path / "in" / n).write_bytes(t.encode())
+    folders.dedup_lines(spark, str(tmp_path / "out"), str(tmp_path / "in"))
+    assert contents(tmp_path / "out") == {"a.txt": "", "b.txt": "", "c.txt": "- back\nown text\n", "d.txt": "mine\nlast", "e.txt": "alone\n\nhere\n"}
+
+
+def test_folders_without_near_duplicates(spark, tmp_path):
+    words = [f"term{i}" for i in range(160)]
+    given = {"x.txt": " ".join(words), "y.txt": " ".join([*words[:150], "other", *words[151:]]).upper(), "z.txt": " ".join(words[::-1])}
+    (tmp_path / "in").mkdir()
+    for n, t in given.items():
+        (tmp_path / "in" / n).write_text(t)
+    folders.dedup_fuzzy(spark, str(tmp_path / "out"), str(tmp_path / "in"), k=500, b=50)
+    assert contents(tmp_path / "out") == {n: given[n] for n in ("x.txt", "z.txt")}
+
+
+def test_english_archives(spark, tmp_path):
+    english, german = b"the mill of the town was near the river", "die Mühle der Stadt war nahe dem Fluss".encode()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.warc.wet.gz").write_bytes(gzip.compress(record(b"warcinfo", b"x") + record(b"conversion", english) + record(b"conversion", german)))
+    (tmp_path / "in" / "g.warc.wet.gz").write_bytes(gzip.compress(record(b"conversion", german)))
+    model = naive_bayes.fit(spark.createDataFrame([(english.decode(), "en"), (german.decode(), "de")], "text STRING, label STRING"), {"label": ["de", "en"]})["label"]
+    folders.english_archives(spark, str(tmp_path / "out"), str(tmp_path / "in"), model)
+    assert [p.name for p in (tmp_path / "out").glob("*.gz")] == ["m.warc.wet.gz"]
+    got = warc.conversions(spark.read.format("warc").option("path", str(tmp_path / "out")).load()).collect()
+    assert [(r.text, r.target_uri) for r in got] == [(english.decode(), "http://x.test/")]
+
+
 def test_command_lines(spark, tmp_path, capsys):
     long = "The quiet river town kept its old mill and the people were glad. " * 6
     (tmp_path / "in").mkdir()

@@ -107,13 +107,14 @@ class TokenWriter(FileWriter):
 
 
 class TextWriter(FileWriter):
-    """``file, text``: a text file for each ``file``, every document followed by a blank line; rows of one file stand together."""
+    """``file, text``: a text file for each ``file``, every document followed by ``sep``, a blank line unless it is given; rows of one file stand together."""
 
     suffix = ".txt"
 
     def pieces(self, rows, part):
+        sep = self.options.get("sep", "\n\n")
         for row in rows:
-            yield row["file"], (row["text"] + "\n\n").encode("utf-8", "replace"), {}
+            yield row["file"], (row["text"] + sep).encode("utf-8", "replace"), {}
 
 
 class WarcWriter(FileWriter):

@@ -97,6 +97,12 @@ def write_texts(df: DataFrame, folder: str, text: str = "text", file: str = "fil
     rows.select("file", "text").write.format("texts").mode("overwrite").save(folder)
 
 
+def write_files(df: DataFrame, folder: str, text: str = "text", file: str = "file") -> None:
+    """Each row as a file of its name, the text as it is; empty texts give empty files."""
+    committed.register(df.sparkSession)
+    df.select(F.col(file).alias("file"), F.coalesce(F.col(text), F.lit("")).alias("text")).write.format("texts").option("sep", "").mode("overwrite").save(folder)
+
+
 def write_archive(df: DataFrame, folder: str, file: str | None = None) -> None:
     """Kept text records (``target_uri, date, payload``) as gzipped archives, one for each input file where it is named."""
     from ..sources import warc
