@@ -97,7 +97,8 @@ def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.html_content(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return boilerplate.html_content(pages, border=boilerplate.training_pages(pages)[1])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
