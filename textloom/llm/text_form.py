@@ -38,9 +38,10 @@ _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*[ \t\r]*$", re.M)
 _STOP = re.compile(r"[.!?]+(?=[\s\"'”»)]|$)|[。！？]+|\n")
 _MARKER = re.compile(r"^[ \t]*(?:[-*•·–—+▪◦‣●○>→✓☐]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])[ \t]+\S", re.M)
 _LEADER = re.compile(r"(?:\.{4,}|(?: \.){3,})[ \t]*\d+[ \t\r]*$", re.M)
-_DUMP = re.compile(r"(?<!\S)[0-9a-fA-F]{2}(?!\S)")
+_DUMP = frozenset(a + b for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF")
 _CELLS = re.compile(r"(?<!\S)(?:[-+]?[\d.,:/]*\d[\d.,:/]*%?|-|n/a)(?!\S)", re.I)
-_MIXED = re.compile(r"\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}|\b[0-9a-f]{2}\b(?= [0-9a-f]{2}\b)|[A-Za-z]+[=%&][A-Za-z]")
+_TOKENS = r"\b(?=[^\W\d]*+\d)(?=[^\WA-Za-z]*+[A-Za-z])\w{6,}|\b[0-9a-f]{2}\b(?= [0-9a-f]{2}\b)"
+_MIXED, _MIXED_PLAIN = re.compile(rf"{_TOKENS}|[A-Za-z]++[=%&][A-Za-z]"), re.compile(_TOKENS)  # the latter for texts without these signs
 _TO_CELLS = re.compile(r'[|,;"\t]')
 _HAN = re.compile("[\u3400-\u9fff]")
 _CODE = "{}()[]=<>"
@@ -157,16 +158,17 @@ def votes(text: str, stats: tuple, common: frozenset, letters: Letters) -> str:
     tokens = text.split()
     symbols = 0.0 if leaders >= 3 else symbols
     solid = max(1, sum(map(len, tokens)))
-    numeric = len(_CELLS.findall(_TO_CELLS.sub(" ", text))) / max(1, len(_TO_CELLS.sub(" ", text).split()))
+    cells = _TO_CELLS.sub(" ", text).split()
+    numeric = sum(not c.isalpha() and _CELLS.fullmatch(c) is not None for c in cells) / max(1, len(cells))
     rows = _rows(lines) if m >= 3 else 0.0
     short = sum(len(x) <= (14 if han > 0.3 else 46) and x.count(" ") <= 6 for x in lines)
-    mixed = sum(map(len, _MIXED.findall(text))) / solid
+    mixed = sum(map(len, (_MIXED if "=" in text or "%" in text or "&" in text else _MIXED_PLAIN).findall(text))) / solid
     long_tokens = sum(len(t) for t in tokens if len(t) > 22 and not t.startswith(("http", "www"))) / solid
     strange = share < 0.12 and han < 0.1 and n >= 4 and letters.score(text) < letters.low
     is_rows = rows >= 0.8 and in_sentences < 0.5 and (numeric >= 0.1 or text.count("|") >= 2 * m or text.count("\t") + text.count(";") >= m)
     cell_rows = m >= 3 and numeric >= 0.25 and in_sentences < 0.3 and han < 0.3 and len(tokens) >= 2 * m and aside(sum(bool(_CELLS.search(x)) for x in lines)) >= 0.75
     odd = symbols > 0.35 and not listed or strange or mixed > 0.35 or code > 0.08 or noise > 0.3
-    dump = len(_DUMP.findall(text)) >= 0.5 * len(tokens)
+    dump = sum(map(_DUMP.__contains__, tokens)) >= 0.5 * len(tokens)
     is_rows, cell_rows = is_rows and not dump, cell_rows and not dump
     table = is_rows or cell_rows and mixed < 0.3
     out = (
