@@ -172,7 +172,7 @@ def figures(text: str):
 
 
 _NUMBER = re.compile(r"(?<![\w.,/-])\d{1,4}(?=[ ,A-Za-z/-])")
-_RUN = re.compile(r"\d+")
+_RUN = re.compile(r"(?<=[ ,.rR])\d")
 _GERMAN = tuple("straße strasse str. str weg gasse allee platz ring damm ufer steig pfad".split())
 _ROMANCE = tuple("calle c/ avenida avda av. paseo plaza camino ronda carrera travesía callejón via viale piazza corso rua largo travessa praça ул. улица".split())
 _DETERMINER = frozenset("the this dem den der das die ein eine einen la le les el los las il lo os as uma un una".split())
@@ -410,6 +410,8 @@ def _named(packed: bytes):
         for d, t in zip(docs, texts, strict=True):
             if t:
                 p, h = plain(t), None
+                if not any(maybe[w] or w.endswith("'s") and maybe[w[:-2]] for w in set(_ANY.findall(p))):
+                    continue
                 for m in _FIRST.finditer(p):
                     word = m.group()
                     name = word if maybe[word] else word[:-2] if word.endswith("'s") and maybe[word[:-2]] else None
@@ -426,6 +428,7 @@ _INITIAL = re.compile(rf"(?<![\w@.-])[A-Z]\. (?:[A-Z]\. )?({_CAP}(?:-{_CAP})?)(?
 
 
 _FIRST = re.compile(r"(?<![\w@.+-])[^\W\d_][\w']*")
+_ANY = re.compile(r"[^\W\d_][\w']*")
 _REST = re.compile(rf"\s(?:([A-Z]\.)(?:\s|(?=\W|$))){{0,2}}({_SURNAME})?(?![\w@]|\.\w+@)", re.I)
 _AFTER_TURNED = re.compile(r"(?:\s[A-Z]\.)?(?![\w@]|-\w)", re.I)
 _SURNAME_ONLY = re.compile(_SURNAME)
