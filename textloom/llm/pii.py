@@ -101,6 +101,10 @@ _ID = re.compile(
 _CAP = r"[A-ZÀ-ÖØ-ÞČŠŽŁ][\w'À-ÿ]*[a-zà-ÿ][\w'À-ÿ]*"
 _NAME = re.compile(rf"(?<![\w@.-])({_CAP}) (?:[A-Z]\. ){{0,2}}({_CAP}(?:-{_CAP})?)(?![\w@])")
 
+#: What the two patterns of names need first; complete, as either goes on with a capital behind the space.
+_TWO_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-ÞČŠŽŁ][\w'À-ÿ]* [A-ZÀ-ÖØ-ÞČŠŽŁ]")
+_CAPITAL_DOT = re.compile(r"[A-Z]\. [A-ZÀ-ÖØ-ÞČŠŽŁ]")
+
 _STREETS_EN = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Close|Terrace|Drive|Dr\.?|Way|Court|Ct\.?|Place|Pl\.?|Crescent|Square|Row|Walk|Gardens|Grove|Hill|Boulevard|Blvd\.?)"
 _HOUSE = r"\d{1,4}(?:[A-Za-z]\b)?(?: ?[-/] ?\d{1,4}[A-Za-z]?)?"
 _ADDRESS_EN = re.compile(rf"(?<![\w.,/-])({_HOUSE}) (?!(?:the|of|and|an?|in|to|for|per|g)\b)((?:(?:[NSEW]\.|North|South|East|West|Old|New|Upper|Lower|Great|Little|Saint|St\.?) ){{0,2}}[A-Z][\w'-]+(?: [A-Z][\w'-]+)?) ({_STREETS_EN})(?![\w])", re.I)
@@ -244,14 +248,14 @@ def seen(text: str, edges: Counter):
         if not (word and text[a - 1].isspace() and word[-1].lower() in _DETERMINER):
             small = not any(c.isupper() for c in text[a:b])
             yield "address", "address", a, b, False, False, small, nodes
-    for m in _NAME.finditer(text):
+    for m in _NAME.finditer(text) if _TWO_CAPITALS.search(text) else ():
         inst = m.group(1).lower()
         two, one = before(text, m.start())
         if one[:1].islower() or one[-1:] == "," or one in ("9", "-", "*") or not one:
             edges["name", two, inst] += 1
             edges["name", one, inst] += 1
         edges["ending", inst, _ending(m.group(2))] += 1
-    for m in _INITIAL.finditer(text):
+    for m in _INITIAL.finditer(text) if _CAPITAL_DOT.search(text) else ():
         two, one = before(text, m.start())
         yield "name", "initial", m.start(), m.end(), False, False, False, [("pattern", two, 1.0), ("pattern", one, 0.9), ("ending", _ending(m.group(1)), 1.0)]
 
