@@ -19,11 +19,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spread(df.select(*columns)) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """Small inputs, whose few row groups would keep most cores idle, in as many partitions as there are cores; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * PER_TASK else df
+    return df.repartition(cores) if size < cores * per_task else df
 
 
 def materialised(spark: SparkSession, folder: str, name: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:
