@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..io import spread
 from . import abuse, boilerplate, language, leakage, mixture, mojibake, pii, repetition, text_form
 from .sql import SQL as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that is smaller than 1 MB for each core is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, 1 << 20) if name in ("documents", "wet_records", "pages") else df
 
 
 def _conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
