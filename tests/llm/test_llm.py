@@ -265,6 +265,21 @@ def test_html_regions(spark):
     assert boilerplate.boilerplate_lines(df, empty, "page_id", "html").count() >= 0
 
 
+def test_every_page_counts(spark):
+    """The border and the line model learn from all pages, in whatever partitions they come."""
+    own = ["".join(chr(97 + int(d)) for d in f"{n:04d}") for n in range(1600)]
+    html = [f"<nav><a>Home</a></nav><p>{w} {'says the mill ' * (n % 9 + 3)}.</p><footer>{w}s</footer>" for n, w in enumerate(own)]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id BIGINT, html STRING")
+    models = []
+    for parts in (1, 5):
+        models.append(boilerplate.fit(*boilerplate.training_pages(df.repartition(parts))))
+    ratios = np.concatenate([boilerplate.tag_ratio(boilerplate.html_lines(h)) for h in html])
+    assert abs(models[0].border - boilerplate.threshold(ratios, 100)) < 1e-6
+    assert all(models[0].weights[boilerplate._hash(w)] for w in own)
+    assert models[0].border == models[1].border and models[0].cut == models[1].cut
+    assert (models[0].weights == models[1].weights).all() and all((a == b).all() for a, b in zip(models[0].layers, models[1].layers, strict=True))
+
+
 ARTICLE = "The old mill was near the river and the miller knew it, although nobody in the town could say when the storm would come. " * 4
 
 

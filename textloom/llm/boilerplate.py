@@ -5,16 +5,18 @@ text, its characters and the tags around it: start tags count to the line they
 open, end tags to the line they close, and each tag has a weight, small for
 tags of running text and large for those that lay a page out.  The log of this
 text-to-tag ratio is put to either side of the border between two clusters
-(2-means over a sample of pages), squashed, and smoothed along the page with a
+(2-means over the lines of all pages), squashed, and smoothed along the page with a
 Gaussian; lines above the border are main content.  Enough text outweighs any
 tag: an article in bare ``div`` elements is main content.
 
 A payload of plain text has lost its tags.  Records whose page was kept as HTML
 get the ratios of that page, line by line.  For all other lines the ratio is
-predicted: from the words and the shape of the line, after a bounded sample of
-pages with HTML, by a logistic model; and then once more from the ratios
-Gaussian-smoothed over the lines before and behind it, which is what tells a
-page's own title from the titles in a sidebar.  Where a page's own ratio is
+predicted: from the words and the shape of the line, after all pages with HTML,
+by a logistic model; and then once more from the ratios Gaussian-smoothed over
+the lines before and behind it, which is what tells a page's own title from the
+titles in a sidebar.  The pages are fitted in parts by a hash of their key, from
+the same start, and the parts' weights are averaged by what each has seen, so
+the model is the same however the rows are partitioned.  Where a page's own ratio is
 close to the border, the prediction is added to it.
 
 Defined results: null and blank payloads have no lines to report and null or
@@ -29,19 +31,22 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import partial
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import models
 from .batches import map_rows, pick
 
-#: Pages with HTML that the line model is fitted on, the first in the order of a hash of their key.
-FIT_PAGES = 1500
+#: Pages in a part that is fitted by itself, about; all parts count.
+PART_PAGES = 1500
 BUCKETS = 1 << 16
 SIGMAS = (0.8, 2.0, 5.0)
 
@@ -292,59 +297,57 @@ def context(ratio: np.ndarray, size: np.ndarray, starts: np.ndarray, page: np.nd
 def _page_arrays(model: LineModel, pages: list[list[str]]):
     """All non-blank lines of the pages, with each page's start and the features of lines in context."""
     lines = [x for p in pages for x in p]
-    counts = np.array([len(p) for p in pages])
+    return _line_arrays(model.ratio(lines), lines, np.array([len(p) for p in pages]))
+
+
+def _line_arrays(ratio: np.ndarray, lines: list[str], counts: np.ndarray) -> np.ndarray:
+    """The features in context of pages' lines, of which the ratios are known; ``counts`` has the lines of each page."""
     starts = np.r_[0, counts.cumsum()[:-1]].astype(int)
-    page = np.repeat(np.arange(len(pages)), counts)
-    ratio = model.ratio(lines)
+    page = np.repeat(np.arange(len(counts)), counts)
     size = np.log1p(np.array([x.count(" ") + 1 if x.isascii() else max(x.count(" ") + 1, len(x) // 5) for x in lines], float))
     kind = np.array([2.0 if x.rstrip()[-1] in ".!?。？！:" else 1.0 if x.lstrip()[0] in "-*•·–" else 0.0 for x in lines])
     return context(ratio, size, starts, page, kind)
 
 
-def fit(pages: list[tuple[list[str], list[bool]]], border: float = BORDER, seed: int = 5, epochs: int = 6) -> LineModel:
-    """Fits both stages on (lines, whether main content) of pages."""
-    pages = [(x, y) for x, y in pages if x]
-    if not pages:
-        return LineModel(np.zeros(BUCKETS, np.float32), 0.0, np.zeros(1), np.ones(1), [], 0.0, border)
-    rng = np.random.default_rng(seed)
-    half = rng.permutation(len(pages))
-
-    def lexical(part):
-        feats = [np.array([_hash(f) for f in line_features(x)]) for i in part for x in pages[i][0]]
-        y = np.array([v for i in part for v in pages[i][1]], float)
-        w, bias, rate = np.zeros(BUCKETS), 0.0, 0.5
-        g2 = np.full(BUCKETS, 1e-2)
-        for _ in range(epochs):
-            for idx in np.array_split(rng.permutation(len(feats)), max(1, len(feats) // 64)):
-                sizes = np.array([len(feats[i]) for i in idx])
-                flat = np.concatenate([feats[i] for i in idx])
-                norm = np.repeat(1 / np.sqrt(sizes), sizes)
-                z = np.add.reduceat(w[flat], np.r_[0, sizes.cumsum()[:-1]]) / np.sqrt(sizes) + bias
-                err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[idx]
-                bias -= 0.02 * err.mean()
-                hit, inv = np.unique(flat, return_inverse=True)
-                g = np.bincount(inv, weights=np.repeat(err, sizes) * norm) + 1e-4 * w[hit]
-                g2[hit] += g * g
-                w[hit] -= rate * g / np.sqrt(g2[hit])
-        return w.astype(np.float32), bias
-
-    # the context stage learns from ratios of lines that the first stage hasn't seen
-    a, b = half[: len(half) // 2], half[len(half) // 2 :]
-    xs, ys = [], []
-    for train_part, test_part in ((a, b), (b, a)):
-        if len(train_part) and len(test_part):
-            m = LineModel(*lexical(train_part), np.zeros(1), np.ones(1), [], 0.0)
-            xs.append(_page_arrays(m, [pages[i][0] for i in test_part]))
-            ys += [v for i in test_part for v in pages[i][1]]
-    w, bias = lexical(np.arange(len(pages)))
-    model = LineModel(w, bias, np.zeros(1), np.ones(1), [], 0.0, border)
-    if not xs:
-        return model
-    x, y = np.concatenate(xs), np.array(ys, float)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    z = (x - model.mean) / model.scale
-    hidden = 24
-    ws = [rng.normal(0, 0.3, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
+HIDDEN = 24
+#: Context features of a line, and where in a row of all parameters the bias, the layers and the cut stand behind the buckets.
+FEATURES = 28
+SHAPES = ((FEATURES, HIDDEN), (HIDDEN,), (HIDDEN,), (1,))
+LAYERS_AT = BUCKETS + 1
+CUT_AT = LAYERS_AT + sum(math.prod(x) for x in SHAPES)
+#: Parameters are added up as whole numbers of this part of one, so the order of the parts cannot matter.
+UNIT = 1 << 24
+
+
+def _lexical(lines: list[np.ndarray], y: np.ndarray, rng, epochs: int) -> tuple[np.ndarray, float]:
+    """Logistic weights of the buckets and their bias, from lines' buckets and whether each is main content."""
+    w, bias, rate = np.zeros(BUCKETS), 0.0, 0.5
+    g2, touched = np.full(BUCKETS, 1e-2), np.zeros(BUCKETS, bool)
+    for _ in range(epochs):
+        for idx in np.array_split(rng.permutation(len(lines)), max(1, len(lines) // 64)):
+            some = [lines[i] for i in idx]
+            sizes = np.array([len(x) for x in some])
+            flat = np.concatenate(some)
+            norm = np.repeat(1 / np.sqrt(sizes), sizes)
+            z = np.add.reduceat(w[flat], np.r_[0, sizes.cumsum()[:-1]]) / np.sqrt(sizes) + bias
+            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[idx]
+            bias -= 0.02 * err.mean()
+            touched[flat] = True
+            hit = np.flatnonzero(touched)
+            touched[hit] = False
+            g = np.bincount(flat, weights=np.repeat(err, sizes) * norm, minlength=BUCKETS)[hit] + 1e-4 * w[hit]
+            g2[hit] += g * g
+            w[hit] -= rate * g / np.sqrt(g2[hit])
+    return w, bias
+
+
+def _layers(x: np.ndarray, y: np.ndarray, rng) -> list[np.ndarray]:
+    """The layers for features as they are; every part starts from the same."""
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-3, scale, 1.0)
+    z = (x - mean) / scale
+    start = np.random.default_rng(0)
+    ws = [start.normal(0, 0.3, SHAPES[0]), np.zeros(HIDDEN), start.normal(0, 0.3, HIDDEN), np.zeros(1)]
     ms, vs, step = [np.zeros_like(v) for v in ws], [np.zeros_like(v) for v in ws], 0
     for epoch in range(12):
         for idx in np.array_split(rng.permutation(len(z)), max(1, len(z) // 128)):
@@ -357,10 +360,87 @@ def fit(pages: list[tuple[list[str], list[bool]]], border: float = BORDER, seed:
                 ms[k] = 0.9 * ms[k] + 0.1 * g
                 vs[k] = 0.99 * vs[k] + 0.01 * g * g
                 ws[k] -= 0.01 * 0.8**epoch * (ms[k] / (1 - 0.9**step)) / (np.sqrt(vs[k] / (1 - 0.99**step)) + 1e-8)
-    model.layers = ws
-    scores = model.in_context(x)
-    model.cut = min(max(threshold(np.clip(scores, -4, 4)), -0.5), 0.5)
-    return model
+    first = ws[0] / scale[:, None]
+    return [first, ws[1] - mean @ first, ws[2], ws[3]]
+
+
+def fit_part(pages: list[tuple[list[str], list[bool]]], seed: int = 5, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Of one part of the pages each parameter times its weight, in UNIT, and its weight: the lines that tell of it.
+
+    The context stage learns from ratios of lines that the first stage hasn't seen: each half's by the other half.
+    """
+    total, weight = np.zeros(CUT_AT + 1, np.int64), np.zeros(CUT_AT + 1, np.int64)
+    pages = [(x, y) for x, y in pages if x]
+    rng = np.random.default_rng(seed)
+    half = rng.permutation(len(pages))
+    known: dict[str, np.ndarray] = {}
+    for x, _ in pages:
+        for line in x:
+            if line not in known:
+                known[line] = np.array([_hash(f) for f in line_features(line)])
+    parts = [[pages[i] for i in half[: len(half) // 2]], [pages[i] for i in half[len(half) // 2 :]]]
+    feats = [[known[line] for x, _ in p for line in x] for p in parts]
+    truth = [np.array([v for _, y in p for v in y], float) for p in parts]
+    xs, ys = [], []
+    for own, other in ((0, 1), (1, 0)):
+        if not feats[own]:
+            continue
+        w, bias = _lexical(feats[own], truth[own], rng, epochs)
+        n = np.bincount(np.concatenate(feats[own]), minlength=BUCKETS)
+        n, w = np.r_[n, len(feats[own])], np.r_[w, bias]
+        total[:LAYERS_AT] += np.rint(w * UNIT).astype(np.int64) * n
+        weight[:LAYERS_AT] += n
+        if feats[other]:
+            sizes = np.array([len(f) for f in feats[other]])
+            z = np.add.reduceat(w[np.concatenate(feats[other])], np.r_[0, sizes.cumsum()[:-1]]) / np.sqrt(sizes) + bias
+            xs.append(_line_arrays(np.clip(z, -12, 12), [line for x, _ in parts[other] for line in x], np.array([len(x) for x, _ in parts[other]])))
+            ys.append(truth[other])
+    if xs:
+        x = np.concatenate(xs)
+        ws = _layers(x, np.concatenate(ys), rng)
+        cut = threshold(np.clip(np.tanh(x @ ws[0] + ws[1]) @ ws[2] + ws[3][0], -4, 4))
+        rest = np.concatenate([*(v.ravel() for v in ws), [min(max(cut, -0.5), 0.5)]])
+        total[LAYERS_AT:], weight[LAYERS_AT:] = np.rint(rest * UNIT).astype(np.int64) * len(x), len(x)
+    return total, weight
+
+
+def _parts(border: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each parameter the sum over the parts in these batches, and the sum of its weights."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for part, *page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.setdefault(part, []).append(page)
+    if parts:
+        sums = [fit_part([(lines, (sides(np.array(ratio), border) > 0).tolist()) for k, lines, ratio in sorted(parts.pop(p), key=_place)]) for p in sorted(parts)]
+        total, weight = (sum(x) for x in zip(*sums, strict=True))
+        at = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, total[at], weight[at])], names=["at", "total", "weight"])
+
+
+def _place(page: list) -> tuple:
+    """Pages of a part stand in this order, those without a key first."""
+    k, lines, ratio = page
+    return k is not None, k or 0, lines, ratio
+
+
+def fit(pages: list[tuple[list[str], list[bool]]] | DataFrame, border: float = BORDER) -> LineModel:
+    """Fits both stages on (lines, whether main content) of pages, or on a frame of :func:`training_pages`."""
+    if isinstance(pages, DataFrame):
+        n = max(1, -(-pages.count() // PART_PAGES))
+        spread = pages.select(F.pmod(F.xxhash64("k"), F.lit(n)).alias("part"), "k", "lines", "ratio").repartition(n, "part")
+        sums = spread.mapInArrow(partial(_parts, border), "at BIGINT, total BIGINT, weight BIGINT").groupBy("at").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toArrow()
+        pages.unpersist()
+        total, weight = np.zeros(CUT_AT + 1, np.int64), np.zeros(CUT_AT + 1, np.int64)
+        at = sums.column("at").to_numpy()
+        total[at], weight[at] = sums.column("total").to_numpy(), sums.column("weight").to_numpy()
+    else:
+        total, weight = fit_part(pages)
+    every = total / np.maximum(weight, 1) / UNIT
+    layers = []
+    if weight[CUT_AT]:
+        ends = np.cumsum([math.prod(x) for x in SHAPES])
+        layers = [x.reshape(s) for x, s in zip(np.split(every[LAYERS_AT:CUT_AT], ends[:-1]), SHAPES, strict=True)]
+    return LineModel(every[:BUCKETS].astype(np.float32), float(every[BUCKETS]), np.zeros(1), np.ones(1), layers, float(every[CUT_AT]), border)
 
 
 def _key(line: str) -> int:
@@ -406,15 +486,31 @@ def main_lines(model: LineModel, payloads: list[str | None], page_keys=None, pag
     return out
 
 
-def training_pages(pages: DataFrame, key: str = "page_id", html: str = "html", bound: int = FIT_PAGES) -> tuple[list[tuple[list[str], list[bool]]], float]:
-    """The lines of at most ``bound`` pages and whether each is main content by its tags; the border between the clusters
-    of their ratios.  The executors parse."""
-    few = pages.where(F.col(html).isNotNull() & (F.length(F.trim(html)) > 0)).select(F.col(key).cast("bigint").alias("k"), F.col(html).alias("c0")).orderBy(F.xxhash64("k"), "k", "c0").limit(bound)
-    rows = map_rows(few.repartition(8), "k BIGINT, lines ARRAY<STRING>, ratio ARRAY<DOUBLE>", _html_rows).collect()
-    rows = sorted(((r["k"], r["lines"], np.array(r["ratio"])) for r in rows), key=lambda r: (r[0], r[1]))
-    every = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)
-    border = threshold(every) if len(every) and every.min() < every.max() else BORDER
-    return [(lines, (sides(ratio, border) > 0).tolist()) for _, lines, ratio in rows], border
+def training_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> tuple[DataFrame, float]:
+    """``k, lines, ratio`` of all pages with HTML, kept until :func:`fit` has read them, and the border between the two
+    clusters of all their ratios."""
+    some = pages.where(F.col(html).isNotNull() & (F.length(F.trim(html)) > 0)).select(F.col(key).cast("bigint").alias("k"), F.col(html).alias("c0"))
+    rows = map_rows(some, "k BIGINT, lines ARRAY<STRING>, ratio ARRAY<DOUBLE>", _html_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    return rows, _border(rows)
+
+
+def _border(rows: DataFrame) -> float:
+    """The border between two clusters of the ratios of all lines, by 2-means in Spark until it stays where it is."""
+    v, n = F.col("v"), F.col("n")
+    values = rows.select(F.explode("ratio").alias("v")).groupBy("v").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    low, high = values.agg(F.min(v), F.max(v)).first()
+    if low is None or high - low < 1e-9:
+        values.unpersist()
+        return BORDER
+    whole = F.round(v * UNIT).cast("bigint") * n
+    while True:
+        below = v <= (low + high) / 2
+        sums = values.agg(*[F.sum(F.when(side, x)) for side in (below, ~below) for x in (whole, n)]).first()
+        means = sums[0] / sums[1] / UNIT if sums[1] else low, sums[2] / sums[3] / UNIT if sums[3] else high
+        if means == (low, high):
+            values.unpersist()
+            return (low + high) / 2
+        low, high = means
 
 
 def _html_rows():
