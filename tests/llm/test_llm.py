@@ -93,6 +93,18 @@ def test_leaks_equal_brute_force():
     assert all(not " ".join(w).startswith("please answer") for _, w in own)
 
 
+def test_own_words_are_not_stock(spark):
+    """Shared initials and figures at the beginning and copies of one item's row leave its own words in."""
+    starts = [f"According to the U.S. {x}" for x in ("census of that year most people lived near rivers", "code a mill may be closed by its town", "army the bridge was lost in one night")]
+    figures = [f"It takes a keeper about 3.5 {x}" for x in ("hours to wind up the clock tower", "days to walk to the northern lighthouse", "weeks to mend one old fishing net")]
+    texts = starts + figures
+    own = leakage.own_words(list(enumerate(texts)))
+    assert [w for _, w in own] == [leakage.words(t) for t in texts]
+    bench = spark.createDataFrame([(9, starts[0]), (9, starts[0]), (9, starts[0]), (8, figures[0])], "item_id BIGINT, text STRING")
+    rows = leakage.leaks(spark.createDataFrame([(1, f"So {starts[0]}, they say.")], "doc_id BIGINT, text STRING"), bench).collect()
+    assert [tuple(r) for r in rows] == [(9, 1, 1, 14, 1.0)]
+
+
 def test_leaks_ignore_writing(spark):
     item = "The quick brown fox doesn't jump over nine lazy dogs today"
     texts = ["x THE  QUICK, brown\nfox doesnt jump over-nine lazy dogs! y", "the quick brown fox jumped over nine", *EMPTY]

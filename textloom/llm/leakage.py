@@ -14,7 +14,7 @@ or end, is cut off the items first.
 
 Defined results: null, blank and short texts and items give no rows; copies of
 a document give their own rows; equal items share all their words and so give
-none.  Other columns are ignored whatever their names.
+none, but an item delivered again is one item.  Other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -45,16 +45,17 @@ def words(text: str) -> list[str]:
 def own_words(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
     """The words of each item outside its stock instruction.
 
-    A prefix shared by several items is stock as far as a sentence end; a shared suffix from its first capital on.
+    A prefix shared by several items is stock as far as a sentence end; a shared suffix from its first capital on, as an
+    item may break off before its instruction without a mark.
     """
-    raw = [(key, [m.group() for m in _WORD.finditer(_DROP.sub("", text))], text) for key, text in items]
+    raw = [(key, [m.group() for m in _WORD.finditer(_DROP.sub("", text))], _sentence_ends(text)) for key, text in items]
     low = [[w.lower() for w in ws] for _, ws, _ in raw]
     heads, tails = _Shared(), _Shared()
-    starts, stops = [heads.add(ws) for ws in low], [tails.add(ws[::-1]) for ws in low]
+    starts = [heads.add(key, ws) for (key, _, _), ws in zip(raw, low, strict=True)]
+    stops = [tails.add(key, ws[::-1]) for (key, _, _), ws in zip(raw, low, strict=True)]
     out = []
-    for (key, ws, text), lw, first, last in zip(raw, low, starts, stops, strict=True):
+    for (key, ws, ends), lw, first, last in zip(raw, low, starts, stops, strict=True):
         start, end = 0, len(ws)
-        ends = _sentence_ends(text)
         for n in range(len(lw) - 1, STOCK_WORDS - 1, -1):
             if n in ends and heads.count[first[n - 1]] >= STOCK_ITEMS:
                 start = n
@@ -62,7 +63,7 @@ def own_words(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
         for n in range(len(lw) - start, STOCK_WORDS - 1, -1):
             if tails.count[last[n - 1]] >= STOCK_ITEMS:
                 at = next((k for k in range(len(ws) - n, len(ws)) if ws[k][0].isupper()), None)
-                if at is not None and len(ws) - at >= STOCK_WORDS and tails.count[last[len(ws) - at - 1]] >= STOCK_ITEMS:
+                if at is not None and len(ws) - at >= STOCK_WORDS:
                     end = at
                 break
         out.append((key, lw[start:end]))
@@ -70,28 +71,34 @@ def own_words(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
 
 
 class _Shared:
-    """A prefix tree: for each prefix of the sequences how many of them begin with it."""
+    """A prefix tree: for each prefix of the sequences how many items begin with it, however often one is delivered."""
 
     def __init__(self):
         self.to: dict[tuple[int, str], int] = {}
         self.count: Counter = Counter()
+        self.seen: set[tuple[int, int]] = set()
 
-    def add(self, words_: list[str]) -> list[int]:
+    def add(self, key: int, words_: list[str]) -> list[int]:
         at, path = 0, []
         for w in words_:
             at = self.to.setdefault((at, w), len(self.to) + 1)
-            self.count[at] += 1
+            if (at, key) not in self.seen:
+                self.seen.add((at, key))
+                self.count[at] += 1
             path.append(at)
         return path
 
 
 def _sentence_ends(text: str) -> set[int]:
-    """Numbers of words after which a sentence ends."""
-    clean, out, n, last = _DROP.sub("", text), set(), 0, 0
+    """Numbers of words after which a sentence ends; figures as 3.5 or 12:30 and initials as U.S. don't end one."""
+    clean, out, n, last, before, initials = _DROP.sub("", text), set(), 0, 0, "", False
     for m in _WORD.finditer(clean):
-        if n and re.search(r"[.!?:;。？！\n]", clean[last : m.start()]):
+        gap, word = clean[last : m.start()], m.group()
+        joined = gap in (".", ":") and (before[-1:].isdigit() and word[0].isdigit() or gap == "." and len(before) == 1 and len(word) == 1)
+        if n and not joined and not (initials and gap == ". ") and re.search(r"[.!?:;。？！\n]", gap):
             out.add(n)
-        n, last = n + 1, m.end()
+        initials = joined and not word[0].isdigit()
+        n, last, before = n + 1, m.end(), word
     return out
 
 
@@ -198,7 +205,9 @@ def _build(items: list[tuple[int, str]], least: int):
     shared: dict[tuple, int | None] = {}
     for n, (_, seq) in enumerate(coded):
         for k in {tuple(seq[a : a + least]) for a in range(len(seq) - least + 1)}:
-            shared[k] = n if k not in shared else None
+            other = shared.setdefault(k, n)
+            if other is not None and coded[other][0] != coded[n][0]:
+                shared[k] = None
     blocks, block, size = [], [], 0
     for _, seq in coded:
         block.append(seq)
@@ -216,7 +225,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     ``coverage`` is the share of the item's own words in the run.  The benchmark is read to the driver: it is the
     bounded set of held-out items, and its automaton is what every task needs.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).orderBy(item).collect()]
+    items = [(r[0], r[1]) for r in benchmark.select(F.col(item).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).distinct().orderBy(item, item_text).collect()]
     built = _build(items, least)
     shared = documents.sparkSession.sparkContext.broadcast(built)
 
