@@ -240,6 +240,26 @@ def test_trigram_probabilities_add_up(spark, size):
         assert np.isclose(p[:-1].sum() + p[-1] * (1 / model.unseen - len(words)), 1, atol=1e-5)
 
 
+def test_scores_leave_no_trigram_out(spark, tables, monkeypatch):
+    """Scores come from all n-grams, however few of all counts one has, and are the same for any partitions."""
+    rng = random.Random(8)
+    words = [a + b for a in "bdfgk" for b in "aeiou"]
+    texts = [" ".join(rng.choice(words[: rng.randrange(3, 25)]) for _ in range(40)) for _ in range(60)] + ["ba be ba be ba be", *EMPTY]
+    model = _fitted(spark, texts, 2, size=1 << 20)
+    tokens = repetition.Tokens(repetition.Vocabulary({}), texts)
+    plain = tokens.per_text(-np.log(model.probability(tokens))) / np.maximum(tokens.sizes, 1)
+    monkeypatch.setattr(repetition.fit, "__defaults__", ("text", 16))
+    runs = []
+    for parts in (1, 5):
+        rows = repetition.scored(frame(spark, texts).repartition(parts), tables[1]).collect()
+        runs.append({r.doc_id: (r.n_words, r.surprisal, r.plain_surprisal, r.repeated_share) for r in rows})
+        assert len(rows) == len(texts)
+    assert runs[0] == runs[1]
+    for n, (size, value) in enumerate(zip(tokens.sizes, plain, strict=True), 1):
+        assert runs[0][n][0] == size and (np.isclose(runs[0][n][2], value, atol=1e-6) if size else runs[0][n][2] is None)
+    assert runs[0][61][1] < runs[0][61][2]
+
+
 def test_trigram_counts_equal_brute_force(spark):
     texts = ["a b c a b d", "a b c", "x a b c x a b c", "b c d e"]
     seen = Counter()
