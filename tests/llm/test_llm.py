@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,68 @@ def test_scores_leave_no_trigram_out(spark, tables, monkeypatch):
     assert runs[0][61][1] < runs[0][61][2]
 
 
+def _shuffled(spark):
+    """Rows written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_trigrams_are_shuffled_once(spark, tables):
+    rng = random.Random(9)
+    words = [a + b for a in "bdfgk" for b in "aeiou"]
+    df = frame(spark, [" ".join(rng.choice(words) for _ in range(100)) for _ in range(150)]).repartition(1).persist()
+    texts = [["<", "<", *r.text.split()] for r in df.collect()]
+    trigrams = len({g for w in texts for g in zip(w, w[1:], w[2:], strict=False)})
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before, kept = spark.conf.get(setting), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    spark.conf.set(setting, "-1")  # as with tables too large to broadcast
+    try:
+        start = _shuffled(spark)
+        repetition.scored(df, tables[1]).unpersist()
+        rows = _shuffled(spark) - start
+    finally:
+        spark.conf.set(setting, before)
+        df.unpersist()
+    assert trigrams < rows < 2 * trigrams, (trigrams, rows)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == kept
+
+
+def test_blocks_count_trigrams_whose_hashes_begin_alike():
+    """Trigrams that the order by parts of hashes mixes have several rows, of which the counts and the places add up."""
+    u, v = np.zeros(5, np.uint64), np.ones(5, np.uint64)
+    w = np.array([5, 6, 5, 6, 6], np.uint64)
+    places = np.array([0, 0, 4, 2, 10], np.uint16)
+    got, seen = Counter(), Counter()
+    for batch in repetition._block(7, [(u, v, w, places)]):
+        for r in batch.to_pylist():
+            assert r["id"] == 7 and (r["u"], r["v"]) == (0, 1)
+            got[r["w"]] += r["c"]
+            seen.update((r["w"], x) for x in np.frombuffer(r["places"], np.uint16).tolist())
+    assert got == {5: 2, 6: 1} and seen == Counter(zip(w.tolist(), places.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("docs", [3, 400])
+def test_replies_add_up(docs):
+    """Sums of surprisals by document, or the words' probabilities where the sums would be longer, give the same."""
+    rng = random.Random(10)
+    grams = [(block, [rng.randrange(docs) * 4 + rng.randrange(3) for _ in range(rng.randrange(1, 9))], rng.random()) for block in (0, 1 << 14, 1 << 33) for _ in range(100)]
+    rng.shuffle(grams)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(b, np.array(places, np.uint16).tobytes(), p) for b, places, p in part], strict=True), (pa.int64(), pa.binary(), pa.float64()), strict=True)], names=["id", "places", "p"]) for part in (grams[:170], grams[170:])]
+    replies = list(repetition._replies(iter(batches)))
+    rows = [r for x in replies for r in x.to_pylist()]
+    assert len(rows) == 3 and all((r["p"] is None) == (docs == 3) for r in rows)
+    own, plain = Counter(), Counter()
+    for block, places, p in grams:
+        for place in places:
+            q = {2: repetition.CACHE + (1 - repetition.CACHE) * p, 1: (1 - repetition.CACHE) * p}.get(place & 3, p)
+            own[block + place // 4] += round(-np.log(q) * repetition.UNIT)
+            plain[block + place // 4] += round(-np.log(p) * repetition.UNIT)
+    got = [r for x in repetition._added(iter(replies)) for r in x.to_pylist()]
+    assert len(got) == len(own) and all(abs(r["own"] - own[r["id"]]) <= 64 and abs(r["plain"] - plain[r["id"]]) <= 64 for r in got)
+
+
 def test_trigram_counts_equal_brute_force(spark):
     texts = ["a b c a b d", "a b c", "x a b c x a b c", "b c d e"]
     seen = Counter()
