@@ -18,10 +18,11 @@ from textloom.functions.masking import mask_all, mask_emails, mask_ips, mask_pho
 from textloom.functions.register import register
 from textloom.functions.text import lines, normalized, words
 from textloom.operators import lines as line_ops
-from textloom.operators import minhash, naive_bayes, quality_rules
+from textloom.operators import minhash, naive_bayes, quality_rules, similar
 from textloom.io import materialised
 from textloom.operators.components import components
 from textloom.plans import folders, pipeline
+from textloom.plans import queries as core
 from textloom.sinks import tokens
 from textloom.sources import files, storage, warc
 from textloom.streaming.rowlevel import first_seen, ruled_and_masked
@@ -427,6 +428,65 @@ def test_banding_finds_what_all_pairs_find(spark):
     assert got <= want and len(got) >= 0.97 * len(want) > 30
 
 
+def _edges(rng, n):
+    """Texts of which some are just at, some just above and some just below a similarity of 0.8; some are short, some share a footer."""
+    docs, words = [], [f"v{i}" for i in range(4000)]
+    footer = [f"f{i}" for i in range(30)]
+    for i in range(n):
+        base = [rng.choice(words) for _ in range(rng.choice([5, 6, 8, 13, 49, 94, 150]))] + footer * (i % 3 == 0)
+        docs.append(base)
+        for cut in (1, 2, 3):
+            docs.append(base[: len(base) - cut])
+        for changes in (1, 2, 3, 4):
+            near = list(base)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            docs.append(near)
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def _unbanded():
+    """Two texts with a similarity of 0.8 that share no band of MinHash."""
+    one, low = minhash._sets(5), minhash.minima(minhash.HASHES)
+    for i in range(100_000):
+        words = [f"u{i}x{k}" for k in range(13)]
+        sides = [[f"left{i}", *words[1:]], [f"right{i}", *words[1:]]]  # of 9 shingles each, 8 are common
+        a, b = (minhash._buckets(low(one(" ".join(x))), minhash.BANDS) for x in sides)
+        if not (a == b).any():
+            return sides
+    raise AssertionError("none found")
+
+
+def test_similar_pairs_leave_none_out(spark, tmp_path):
+    """All pairs at the threshold, also those that no band of MinHash shares; the same from the query and its SQL."""
+    import duckdb
+
+    docs = [*_edges(random.Random(4), 60), *zip((8000, 8001), _unbanded(), strict=True)]
+    first: dict[frozenset, int] = {}
+    for k, w in docs:
+        first.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)), k)
+    sets = list(first.items())
+    want = {tuple(sorted((a, b))) for i, (x, a) in enumerate(sets) for y, b in sets[:i] if x and y and 5 * len(x & y) >= 4 * len(x | y)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs] + [(9000, None), (9001, "")], "doc_id BIGINT, text STRING")
+    banded = {(r.id_a, r.id_b) for r in minhash.near_duplicates(df)[0].collect()}
+    assert banded < want
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = core.near_duplicate_pairs(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) > 200 and {(r.id_a, r.id_b) for r in rows} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(core.SQL["near_duplicate_pairs"]).fetchall()) == sorted(map(tuple, rows))
+
+
+def test_similar_pairs_of_hot_shingles_and_of_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join([*base, f"own{i}"])) for i in range(30)] + [(40, " ".join([*base, "own3"]))], "doc_id BIGINT, text STRING")
+    assert sorted((r.id_a, r.id_b) for r in similar.similar_pairs(df).collect()) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+    assert similar.similar_pairs(df.limit(0)).count() == 0
+
+
 def test_seeded_choice_of_a_class(spark):
     df = spark.createDataFrame([(i, "the same few words stand in all of these") for i in range(20)], "doc_id BIGINT, text STRING")
     kept = {seed: [r.doc_id for r in minhash.dedup(df, seed=seed).collect()] for seed in (None, 1, 2, 3)}

@@ -191,7 +191,9 @@ SQL = {
     "minhash_signatures": f"WITH {_SHINGLES},{_signatures(20, '')} SELECT doc_id, md5(coalesce(s, '{','.join('0' * 20)}')) AS signature_md5 FROM documents LEFT JOIN (SELECT doc_id, string_agg(m::VARCHAR, ',' ORDER BY i) AS s FROM sig GROUP BY 1) USING (doc_id)",
     "shingle_set_members": f"WITH {_SHINGLES} SELECT doc_id, rep FROM reps",
     "lsh_candidates": f"WITH {_PAIRS} SELECT id_a, id_b FROM cand",
-    "near_duplicate_pairs": f"WITH {_PAIRS} SELECT id_a, id_b, round(jaccard, 6) AS jaccard FROM pairs",
+    "near_duplicate_pairs": f"""WITH {_SHINGLES}, one AS (SELECT doc_id, h, n FROM sh JOIN reps USING (doc_id) WHERE doc_id = rep),
+common AS (SELECT x.doc_id AS id_a, y.doc_id AS id_b, x.n AS na, y.n AS nb, count(*) AS c FROM one x JOIN one y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2, 3, 4)
+        SELECT id_a, id_b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM common WHERE c / (na + nb - c)::DOUBLE >= {minhash.THRESHOLD}""",
     "duplicate_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT doc_id, cluster_id, n_links FROM clusters",
     "cluster_sizes": f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, count(*) AS n, min(doc_id) AS kept FROM clusters GROUP BY 1 HAVING count(*) > 1",
     "dedup_fuzzy_seeded": f"WITH RECURSIVE {_CLUSTERS} SELECT doc_id FROM clusters QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY md5(doc_id::VARCHAR || '/42'), doc_id) = 1",
