@@ -487,6 +487,14 @@ def test_similar_pairs_of_hot_shingles_and_of_no_texts(spark, monkeypatch):
     assert similar.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_membership_is_read_where_the_sets_are(spark):
+    """The sets are shuffled once; who represents whom takes no join of the sets with themselves."""
+    df = spark.createDataFrame([(i, f"the same few words stand in these {i % 2}") for i in range(6)], "doc_id BIGINT, text STRING")
+    rep = minhash.near_duplicates(df)[1]
+    assert "Join" not in rep._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in rep.collect()} == {(i, i % 2) for i in range(6)}
+
+
 def test_seeded_choice_of_a_class(spark):
     df = spark.createDataFrame([(i, "the same few words stand in all of these") for i in range(20)], "doc_id BIGINT, text STRING")
     kept = {seed: [r.doc_id for r in minhash.dedup(df, seed=seed).collect()] for seed in (None, 1, 2, 3)}
